@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, chat, secrets, sharding
+from . import audio, chat, minhash, secrets, sharding
 
 QUERIES = {
     "op2_shard": sharding.op2_shard,
     "op5_audio": audio.op5_audio,
     "op7_secrets": secrets.op7_secrets,
     "op8_chat": chat.op8_chat,
+    "op9_near": minhash.op9_near,
 }
 SQL = {"op8_chat": chat.OP8_SQL}
