@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import audio, chat, minhash, secrets, sharding
+from . import audio, chat, decontaminate, minhash, secrets, sharding
 
 QUERIES = {
     "op2_shard": sharding.op2_shard,
+    "op3_leaks": decontaminate.op3_leaks,
     "op5_audio": audio.op5_audio,
     "op7_secrets": secrets.op7_secrets,
     "op8_chat": chat.op8_chat,
     "op9_near": minhash.op9_near,
 }
-SQL = {"op8_chat": chat.OP8_SQL}
+SQL = {"op3_leaks": decontaminate.OP3_SQL, "op8_chat": chat.OP8_SQL}
