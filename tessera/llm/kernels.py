@@ -87,16 +87,16 @@ def spans(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = SPACE) ->
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each substring; starts and ends both ascend."""
-    out = np.empty(len(start), U)
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each substring; starts and ends both ascend.  Each salt is another hash."""
+    out, table = np.empty(len(start), U), mix(_BYTE ^ U(salt)) if salt else _BYTE
     i = 0
     while i < len(start):
         at = int(start[i])
         j = max(i + 1, int(np.searchsorted(end, at + SPAN, "right")))
         part = data[at : int(end[j - 1])]
         run = np.zeros(len(part) + 1, U)
-        np.cumsum(_BYTE[part] * powers(_BASE, len(part)), out=run[1:])
+        np.cumsum(table[part] * powers(_BASE, len(part)), out=run[1:])
         s, e = start[i:j] - at, end[i:j] - at
         out[i:j] = (run[e] - run[s]) * powers(_INVERSE, len(part) + 1)[s]
         out[i:j] += (e - s).astype(U)
@@ -134,3 +134,27 @@ def distinct(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
     return value[new], row[new]
+
+
+def deletions(line: np.ndarray, first: int, last: int) -> np.ndarray:
+    """What ``hashes`` gives for a line without its character ``t``, for ``t`` from ``first`` to before ``last``."""
+    n = len(line)
+    run = np.zeros(n + 1, U)
+    np.cumsum(_BYTE[line] * powers(_BASE, n), out=run[1:])
+    at = np.r_[np.flatnonzero((line & 0xC0) != 0x80), n]
+    p, q = at[first:last], at[first + 1 : last + 1]
+    return mix(run[p] + (run[n] - run[q]) * powers(_INVERSE, 8)[q - p] + (n - (q - p)).astype(U))
+
+
+class Bitmap:
+    """A set of 64-bit values in a fixed number of bits; it may hold more than was put in, never less."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, U(len(words) * 64 - 1)
+
+    def __contains__(self, value) -> bool:
+        return bool(self.has(np.array([value], U))[0])
+
+    def has(self, value: np.ndarray) -> np.ndarray:
+        at = value & self.mask
+        return (self.words[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, chat, decontaminate, minhash, secrets, sharding
+from . import audio, chat, decontaminate, lines, minhash, secrets, sharding
 
 QUERIES = {
     "op2_shard": sharding.op2_shard,
     "op3_leaks": decontaminate.op3_leaks,
     "op5_audio": audio.op5_audio,
+    "op6_lines": lines.op6_lines,
     "op7_secrets": secrets.op7_secrets,
     "op8_chat": chat.op8_chat,
     "op9_near": minhash.op9_near,
