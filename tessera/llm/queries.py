@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat, decontaminate, lines, minhash, secrets, sharding
+from . import audio, bpe, chat, decontaminate, lines, minhash, secrets, sharding
 
 QUERIES = {
     "op2_shard": sharding.op2_shard,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_chat": chat.op8_chat,
     "op9_near": minhash.op9_near,
+    "op10_bpe": bpe.op10_bpe,
 }
 SQL = {"op3_leaks": decontaminate.OP3_SQL, "op8_chat": chat.OP8_SQL}
