@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, chat, decontaminate, lines, minhash, secrets, sharding
+from . import audio, bpe, chat, decontaminate, lines, minhash, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_shard": sharding.op2_shard,
     "op3_leaks": decontaminate.op3_leaks,
     "op5_audio": audio.op5_audio,
