@@ -1,7 +1,8 @@
 """Toxic passages by maximum-scoring segment search.
 
-Terms get a log-odds of the toxic against the other class, with a Dirichlet
-prior from all labelled text.  Every maximal scoring segment of a text is found
+Terms and their stems (first characters) get a log-odds of the toxic against
+the other class, with a Dirichlet prior from all labelled text; a term scores
+by the stronger of them.  Every maximal scoring segment of a text is found
 in one linear scan (Ruzzo and Tompa), and scores are put on an extreme-value
 scale: in clean text of ``n`` terms the best segment exceeds ``x`` with
 probability ``1 - exp(-K n exp(-lambda x))``.  A logistic curve over the
@@ -27,6 +28,8 @@ from .tables import read, stored
 
 U = np.uint64
 FEATURES = 4
+#: Characters of the stems that speak for terms which are rare themselves.
+STEMS = (4, 5, 6)
 
 
 def held_out(key, modulus: int = 5):
@@ -34,10 +37,22 @@ def held_out(key, modulus: int = 5):
 
 
 def terms(texts):
-    """Row slice, rows, term hash and row of each term: runs of letters, digits and non-ASCII, in lower case."""
-    for rows, data, offs in K.chunks(texts):
+    """Row slice, rows, hashes (of each term, then of its first characters) and row of each term.
+
+    Terms are runs of letters, digits and non-ASCII, in lower case.  A term
+    that is no longer than a stem has 0 in its place.
+    """
+    for rows, data, offs in K.chunks(texts, 2 * K.SPAN):
         start, end, row = K.spans(data, offs, K.PUNCT)
-        yield rows, len(offs) - 1, K.hashes(data, start, end), row
+        chars = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
+        first = np.searchsorted(chars, start)
+        h = np.zeros((len(start), 1 + len(STEMS)), U)
+        h[:, 0] = K.hashes(data, start, end)
+        for c, n in enumerate(STEMS, 1):
+            to = chars[np.minimum(first + n, len(chars) - 1)]
+            long = np.flatnonzero(to < end)
+            h[long, c] = K.hashes(data, start[long], to[long], n)
+        yield rows, len(offs) - 1, h, row
 
 
 def lowered(column) -> pa.Array:
@@ -70,7 +85,7 @@ def segments(score: np.ndarray) -> list[tuple[float, int, int]]:
 
 @dataclass
 class Model:
-    """Sorted term hashes with their log-odds, the score of other terms, and the calibration."""
+    """Sorted term hashes with their log-odds, what every term loses (``other``), and the calibration."""
 
     value: np.ndarray
     weight: np.ndarray
@@ -81,10 +96,13 @@ class Model:
     least: float = 3.0  # nats above chance that make a segment significant
 
     def scores(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.value):
-            return np.full(len(h), self.other)
-        at = np.minimum(np.searchsorted(self.value, h), len(self.value) - 1)
-        return np.where(self.value[at] == h, self.weight[at], self.other)
+        """Of each term: the strongest evidence of the term and its stems, or ``other``."""
+        out = np.zeros(len(h))
+        for column in h.T if len(self.value) else ():
+            at = np.minimum(np.searchsorted(self.value, column), len(self.value) - 1)
+            odds = np.where(self.value[at] == column, self.weight[at], 0)
+            out = np.where(np.abs(odds) > np.abs(out), odds, out)
+        return out + self.other
 
     def passages(self, score: np.ndarray) -> list[tuple[float, int, int]]:
         """Significant segments: calibrated nats above chance, first and last term."""
@@ -107,25 +125,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float) -> np.ndarray:
-    """Shrunken log-odds of terms: both classes smoothed by ``prior`` pseudo-counts spread as in all text.
+def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float, floor: float = 0.25, errors: float = 2.0) -> np.ndarray:
+    """Shrunken log-odds of terms under a Dirichlet prior.
 
-    The estimate is moved to zero by one standard error, so that terms seen
-    once or twice carry little.
+    The prior spreads ``prior`` pseudo-counts as in all text and adds ``floor``
+    for each term, dealt to the classes by their size.  The estimate is moved
+    to zero by ``errors`` standard errors, so that rare terms carry little.
     """
     both = toxic + clean
-    share = both / max(1.0, both.sum()) * prior
-    a, b = toxic + share, clean + share
-    odds = np.log(a / np.maximum(toxic.sum() + prior - a, 1e-9)) - np.log(b / np.maximum(clean.sum() + prior - b, 1e-9))
-    error = np.sqrt(1 / a + 1 / b)
-    return np.sign(odds) * np.maximum(0, np.abs(odds) - error)
+    total = max(1.0, both.sum())
+    share = 2 * (both / total * prior + floor)
+    a, b = toxic + share * toxic.sum() / total, clean + share * clean.sum() / total
+    odds = np.log(np.maximum(a, 1e-9) / max(a.sum(), 1e-9)) - np.log(np.maximum(b, 1e-9) / max(b.sum(), 1e-9))
+    error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    return np.sign(odds) * np.maximum(0, np.abs(odds) - errors * error)
 
 
 def build(value: np.ndarray, toxic: np.ndarray, clean: np.ndarray, prior: float, drift: float = 0.7) -> Model:
     """A model of term counts; ordinary terms lose ``drift``, so that segments end."""
     seen = np.flatnonzero(toxic + clean > 0)
     by = seen[np.argsort(value[seen])]
-    return Model(value[by], np.clip(log_odds(toxic[by], clean[by], prior), -4, 8) - drift, -drift)
+    return Model(value[by], np.clip(log_odds(toxic[by], clean[by], prior), -4, 8), -drift)
 
 
 def calibrate(best: np.ndarray, length: np.ndarray) -> tuple[float, float]:
@@ -165,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if use is not None:
         rows = rows.filter(use("_id"))
     rows = rows.groupBy("_id").agg(F.max("_y").alias("_y"))
+    share = {r._y: r["count"] for r in rows.groupBy("_y").count().collect()}
     picked = None
     for y in (0, 1):
         some = rows.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
@@ -178,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in batches:
             group = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
             for rows_, n, h, row in terms(lowered(batch.column(2))):
-                h, row = K.distinct(h, row)  # a text counts once for a term, however often it repeats it
+                h, row = h.reshape(-1), np.repeat(row, h.shape[1])
+                h, row = K.distinct(h[h != 0], row[h != 0])  # a text counts once for a term, however often it repeats it
                 g = group[rows_][row]
                 for k in np.unique(g):
                     v, c = np.unique(h[g == k], return_counts=True)
@@ -223,7 +245,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     got = sample.mapInArrow(measure, "y int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES)
     final = build(value, g1 + g3, g0 + g2, prior)
-    final.decay, final.spread, final.curve = decay, spread, logistic(x, got.column("y").to_numpy().astype(float))
+    y = got.column("y").to_numpy()
+    final.decay, final.spread, final.curve = decay, spread, logistic(x, y.astype(float))
+    if len(share) == 2 and 0 < y.sum() < len(y):  # the sample has the classes in another proportion than the labels
+        final.curve[0] += np.log(share[1] / share[0] * (y == 0).sum() / (y == 1).sum())
     return final
 
 
