@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, chat, decontaminate, lines, minhash, secrets, sharding, toxicity
+from . import audio, bpe, chat, decontaminate, lines, minhash, ppm, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_shard": sharding.op2_shard,
     "op3_leaks": decontaminate.op3_leaks,
+    "op4_ppm": ppm.op4_ppm,
     "op5_audio": audio.op5_audio,
     "op6_lines": lines.op6_lines,
     "op7_secrets": secrets.op7_secrets,
