@@ -68,7 +68,7 @@ class Index:
 
 def indexes(items: DataFrame, key: str, text: str, k: int, percent: int, block: int) -> Iterator[Index]:
     """Indexes of at most ``block`` shingles (or one item) each; items without words have no shingles and are not looked for."""
-    whole = stored(items.sparkSession, full_sets(items.select(key, text).filter(F.col(key).isNotNull()), key, text, k, []).filter(F.size("grams") > 0), "items")
+    whole = stored(items.sparkSession, full_sets(items.select(key, text).filter(F.col(key).isNotNull()), key, text, k).filter(F.size("grams") > 0), "items")
     total = whole.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
     parts = max(1, -(-total // block))
     for p in range(parts):
@@ -120,9 +120,11 @@ def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH words AS (
-  SELECT true AS item, item_id AS id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	- ]+'), lambda w: w <> '') AS w FROM benchmark
+  SELECT true AS item, item_id AS id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	-
+ ]+'), lambda w: w <> '') AS w FROM benchmark
   UNION ALL
-  SELECT false, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	- ]+'), lambda w: w <> '') FROM documents),
+  SELECT false, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	-
+ ]+'), lambda w: w <> '') FROM documents),
 grams AS (
   SELECT DISTINCT item, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
 sized AS (SELECT id, g, count(*) OVER (PARTITION BY id) AS n FROM grams WHERE item)

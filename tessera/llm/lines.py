@@ -28,12 +28,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import discard, read, stored
+from .tables import bitmap, discard, read, stored
 
 U = np.uint64
 BREAK = np.zeros(256, bool)
 BREAK[10] = True
 PREFIX, SUFFIX = 1, 2
+#: Names that no input has.
+OWNER, LOST, HELD = "__tessera_owner", "__tessera_lost", "__tessera_held"
 
 
 def tag(key: np.ndarray, line: np.ndarray, side: int) -> np.ndarray:
@@ -71,22 +73,9 @@ def _lines(least: int):
     return run
 
 
-def bitmap(refs: DataFrame, bits: int) -> K.Bitmap:
-    """A bitmap of rows (key, line, side); its words are or-ed by tasks, at most ``bits / 64`` reach the driver."""
-
-    def run(batches):
-        for b in batches:
-            side = b.column(2).to_numpy()
-            h = tag(b.column(0).to_numpy(), b.column(1).to_numpy(), 0) if not len(side) else np.concatenate([tag(b.column(0).to_numpy()[side == s], b.column(1).to_numpy()[side == s], int(s)) for s in np.unique(side)])
-            h = np.unique(h & U(bits - 1))
-            word, first = np.unique(h >> U(6), return_index=True)
-            if len(h):
-                yield pa.record_batch([pa.array(word.astype(np.int64)), pa.array(np.bitwise_or.reduceat(U(1) << (h & U(63)), first).astype(np.int64))], names=["word", "bits"])
-
-    got = refs.select("key", "line", "side").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(bits // 64, U)
-    words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U)
-    return K.Bitmap(words)
+def _tags(batch: pa.RecordBatch) -> np.ndarray:
+    key, line, side = (batch.column(c).to_numpy() for c in ("key", "line", "side"))
+    return np.concatenate([tag(key[side == s], line[side == s], int(s)) for s in np.unique(side)]) if len(side) else np.zeros(0, U)
 
 
 def _variants(sent, least: int):
@@ -143,7 +132,7 @@ def repeated(df: DataFrame, key: str, text: str, least: int = 16, bits: int = 1
     half = unique.select("ref", F.explode(F.array(*[F.struct(F.col(c).alias("half"), F.lit(s).alias("side")) for c, s in (("p1", PREFIX), ("p2", PREFIX), ("s1", SUFFIX), ("s2", SUFFIX))])).alias("x")).select("ref", "x.*")
     shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     taking = half.join(shared, "half", "left_semi").select("ref.key", "ref.line", "side")
-    sent = spark.sparkContext.broadcast(bitmap(taking, bits))
+    sent = spark.sparkContext.broadcast(bitmap(taking, _tags, bits))
     variants = docs.mapInArrow(_variants(sent, least), "v long, place int, key long, line int").select("v", "place", F.struct("key", "line").alias("ref")).repartition("v")
     own, cut = F.when(F.col("place") < 0, F.col("ref")), F.when(F.col("place") >= 0, F.col("ref"))
     with_v = W.partitionBy("v")
@@ -153,7 +142,7 @@ def repeated(df: DataFrame, key: str, text: str, least: int = 16, bits: int = 1
     pairs = stored(spark, pairs, "pairs")
 
     ends = pairs.select("ref.*").union(pairs.select("first.*")).distinct().withColumn("side", F.lit(0))
-    asked = spark.sparkContext.broadcast(bitmap(ends, bits))
+    asked = spark.sparkContext.broadcast(bitmap(ends, _tags, bits))
     texts = stored(spark, docs.mapInArrow(_fetch(asked, least), "key long, line int, text string").select(F.struct("key", "line").alias("at"), "text").dropDuplicates(["at"]), "texts")
     both = pairs.join(texts.toDF("ref", "a"), "ref").join(texts.toDF("first", "b"), "first")
     apart = F.levenshtein("a", "b", 1)
@@ -172,16 +161,19 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     ``originals`` are the keys that hold the earlier copies.  Null and empty
     texts stay as they are, as do rows with a null key; rows that repeat a key
     count as one occurrence each of the lines they share at the same place.
+    Columns of ``df`` with the names of the new ones are replaced.
     """
-    gone = repeated(df, key, text, least, bits).groupBy("key").agg(F.collect_list("line").alias("_gone"), F.array_sort(F.collect_set("first_key")).alias("originals"))
+    made = ("n_lines", "n_dropped", "originals")
+    columns = [c for c in df.columns if c not in made]
+    gone = repeated(df, key, text, least, bits).groupBy("key").agg(F.collect_list("line").alias(LOST), F.array_sort(F.collect_set("first_key")).alias(HELD))
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(LOST))
     body = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    out = df.join(gone.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left")
+    out = df.select(*columns).join(gone.withColumnRenamed("key", OWNER), F.col(key) == F.col(OWNER), "left")
     none = F.array().cast("array<bigint>")
     return out.select(
-        *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(body).alias(text) if c == text else F.col(c) for c in df.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("originals", none).alias("originals"),
+        *[F.when(F.col(LOST).isNull(), F.col(text)).otherwise(body).alias(text) if c == text else F.col(c) for c in columns],
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(LOST), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(HELD, none).alias("originals"),
     )
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .tables import read, stored
+from .tables import bitmap, read, stored
 
 U = np.uint64
 BINS, BANDS = 128, 32
@@ -162,17 +162,18 @@ def classes(value: np.ndarray, size: np.ndarray, score: np.ndarray, percent: int
     return [found.root(i) for i in range(n)]
 
 
-def full_sets(df: DataFrame, key: str, text: str, k: int, also: list[str]) -> DataFrame:
-    """key, the columns ``also`` and the sorted shingles of each row."""
+def full_sets(df: DataFrame, key: str, text: str, k: int, only=None) -> DataFrame:
+    """key and the sorted shingles of each row; of rows whose key is in the bitmap ``only`` if one is given."""
+    sent = None if only is None else df.sparkSession.sparkContext.broadcast(only)
 
     def run(batches):
         for batch in batches:
-            for rows, value, row, n in sets(batch.column(1), k):
+            keep = batch if sent is None else batch.filter(pa.array(sent.value.has(K.mix(batch.column(0).to_numpy().view(U)))))
+            for rows, value, row, n in sets(keep.column(1), k):
                 ends = np.r_[0, np.cumsum(np.bincount(row, minlength=n))].astype(np.int32)
-                yield pa.record_batch([batch.column(0).slice(rows.start, n), *[batch.column(2 + i).slice(rows.start, n) for i in range(len(also))], pa.ListArray.from_arrays(pa.array(ends), pa.array(value.astype(np.int64)))], names=[key, *also, "grams"])
+                yield pa.record_batch([keep.column(0).slice(rows.start, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(value.astype(np.int64)))], names=[key, "grams"])
 
-    fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, *also))
-    return df.select(key, text, *also).mapInArrow(run, f"{fields}, grams array<long>")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, grams array<long>")
 
 
 def _unsigned(column) -> tuple[np.ndarray, np.ndarray]:
@@ -180,12 +181,11 @@ def _unsigned(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).view(U), np.diff(column.offsets.to_numpy())
 
 
-def link(sized: DataFrame, percent: int, local: int, block: int) -> DataFrame:
-    """(node, root) of the sets ``rep, cluster, score, n_shingles, grams``; roots are the smallest of their class."""
-    spark = sized.sparkSession
-    weight = sized.groupBy("cluster").agg(F.sum("n_shingles").alias("w"))
-    giant = weight.filter(F.col("w") > local).select("cluster")
-    names = [x.cluster for x in giant.limit(1).collect()]
+def link(members: DataFrame, texts: DataFrame, percent: int, local: int, block: int) -> DataFrame:
+    """(node, root) of the sets ``rep, cluster, score, n_shingles`` with full sets ``rep, grams``; roots are the smallest of their class."""
+    weight = members.groupBy("cluster").agg(F.sum("n_shingles").alias("w"))
+    giant = stored(members.sparkSession, weight.filter(F.col("w") > local).select("cluster"), "giants")
+    sized = members.hint("merge").join(texts.hint("merge"), "rep")
 
     def near(table: pa.Table) -> pa.Table:
         value, size = _unsigned(table.column("grams"))
@@ -196,14 +196,15 @@ def link(sized: DataFrame, percent: int, local: int, block: int) -> DataFrame:
             least[c] = min(least.get(c, r), r)
         return pa.table({"node": rep, "root": pa.array([least[c] for c in root], pa.int64())})
 
-    if not names:
+    if giant.isEmpty():
         return sized.groupBy("cluster").applyInArrow(near, "node long, root long")
+    sized = stored(members.sparkSession, sized, "sets")
     small = sized.join(giant, "cluster", "left_anti").groupBy("cluster").applyInArrow(near, "node long, root long")
-    large = stored(spark, sized.join(giant, "cluster", "left_semi"), "giant")
+    large = sized.join(giant, "cluster", "left_semi")
     # The centre of each cluster against all its members, then what it leaves against all.
-    centre = large.groupBy("cluster").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("rep"))
+    centre = members.join(giant, "cluster", "left_semi").groupBy("cluster").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("rep"))
     edges = compare(large, large.join(centre, ["cluster", "rep"], "left_semi"), percent, block)
-    left = large.join(edges.select(F.col("b").alias("rep")), "rep", "left_anti")
+    left = large.join(edges.select(F.col("b").alias("rep")).distinct(), "rep", "left_anti")
     more = compare(large, left, percent, block)
     every = edges.unionByName(more).unionByName(large.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
     return small.unionByName(components(every))
@@ -253,7 +254,7 @@ def compare(members: DataFrame, queries: DataFrame, percent: int, block: int) ->
     return stored(spark, empty if out is None else out, "links")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, local: int = 4_000_000, block: int = 2_000_000) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, local: int = 500_000, block: int = 2_000_000, bits: int = 1 << 27) -> DataFrame:
     """key, n_shingles, component_id and kept for each row.
 
     Rows are linked when 100 * intersection >= ``percent`` * union of their
@@ -269,12 +270,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     unique = stored(spark, unique, "unique")
     hits = unique.select("rep", F.explode("bands").alias("bucket"))
     buckets = hits.groupBy("bucket").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    stars = stored(spark, hits.join(buckets, "bucket").groupBy("rep", "least").agg(F.sum("n").alias("n")), "stars")
+    stars = stored(spark, hits.hint("merge").join(buckets.hint("merge"), "bucket").groupBy("rep", "least").agg(F.sum("n").alias("n")), "stars")
     score = stars.groupBy("rep").agg(F.sum("n").cast("double").alias("score"))
     cluster = components(stars.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    members = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(score, "rep")
-    chosen = full_sets(docs.join(members, "rep"), "rep", "body", k, ["cluster", "score"]).withColumn("n_shingles", F.size("grams"))
-    links = stored(spark, link(chosen, percent, local, block), "classes").filter("node <> root")
+    members = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(score, "rep").join(unique.select("rep", "n_shingles"), "rep")
+    members = stored(spark, members, "members")
+    only = bitmap(members.select("rep"), lambda b: K.mix(b.column(0).to_numpy().view(U)), bits)
+    links = stored(spark, link(members, full_sets(docs, "rep", "body", k, only), percent, local, block), "classes").filter("node <> root")
     links = links.groupBy(F.col("node").alias("rep")).agg(F.min("root").alias("root"))
     named = unique.join(links, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"), "copies", "root")
     named = named.filter("copies > 1 or root is not null").drop("copies", "root")

@@ -5,7 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .kernels import U, Bitmap
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +46,22 @@ def discard(df: DataFrame) -> None:
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(conf).delete(path, True)
+
+
+def bitmap(df: DataFrame, hashed, bits: int) -> Bitmap:
+    """A bitmap of fixed size of the hashes that ``hashed`` makes of each Arrow batch of ``df``.
+
+    Tasks or their words together; at most ``bits / 64`` words reach the driver.
+    """
+
+    def run(batches):
+        for b in batches:
+            h = np.unique(hashed(b) & U(bits - 1))
+            if len(h):
+                word, first = np.unique(h >> U(6), return_index=True)
+                yield pa.record_batch([pa.array(word.astype(np.int64)), pa.array(np.bitwise_or.reduceat(U(1) << (h & U(63)), first).astype(np.int64))], names=["word", "bits"])
+
+    got = df.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, U)
+    words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U)
+    return Bitmap(words)
