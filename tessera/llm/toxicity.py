@@ -256,7 +256,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """All rows and columns and a probability; with ``passages`` also (nats, first term, last term) of significant segments.
 
     Null, empty and blank texts get what the curve gives for no segment.
+    Columns with the names of the new ones are replaced.
     """
+    docs = docs.drop(name, *([passages] if passages else []))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names, at = docs.columns, docs.columns.index(text)
     extra = [name, *([passages] if passages else [])]
