@@ -1,6 +1,9 @@
 """Every query with SQL agrees with DuckDB; the others give rows."""
 
+import numbers
+
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.plans import catalogue
@@ -20,7 +23,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("-" if x is None or x != x else (f"{x:.6f}" if isinstance(x, float) else str(x)) for x in r) for r in df.itertuples(index=False))
+    return sorted(tuple("-" if pd.isna(x) else (f"{float(x):.6f}" if isinstance(x, numbers.Number) else str(x)) for x in r) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", [n for n in catalogue.SQL if n not in SLOW])
