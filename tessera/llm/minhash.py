@@ -211,21 +211,15 @@ def link(members: DataFrame, texts: DataFrame, percent: int, local: int, block:
 
 
 def compare(members: DataFrame, queries: DataFrame, percent: int, block: int) -> DataFrame:
-    """Edges (a, b) between each query and the members of its cluster that are alike, queries in blocks of ``block`` shingles."""
+    """Edges (a, b) between each query and the members of its cluster that are alike; queries are sent in blocks of about ``block`` shingles."""
     spark = members.sparkSession
-    thin = queries.select("cluster", "rep", F.size("grams").alias("n"))
-    todo, held, out = [], 0, None
-    parts: list[list[int]] = []
-    for x in thin.toLocalIterator():  # identifiers only, one partition at a time
-        if todo and held + x.n > block:
-            parts.append(todo)
-            todo, held = [], 0
-        todo.append(x.rep)
-        held += x.n
-    if todo:
-        parts.append(todo)
-    for part in parts:
-        rows = queries.join(F.broadcast(spark.createDataFrame([(r,) for r in part], "rep long")), "rep", "left_semi").select("cluster", "rep", "grams").toArrow()
+    queries = stored(spark, queries.select("cluster", "rep", "grams"), "queries")
+    total = queries.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
+    parts, out = -(-total // block), None
+    for p in range(parts):
+        rows = queries.filter(F.pmod(F.xxhash64("rep"), F.lit(parts)) == p).toArrow()
+        if not len(rows):
+            continue
         value, size = _unsigned(rows.column("grams"))
         first = np.cumsum(size) - size
         asked: dict[int, list] = {}
@@ -254,7 +248,7 @@ def compare(members: DataFrame, queries: DataFrame, percent: int, block: int) ->
     return stored(spark, empty if out is None else out, "links")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, local: int = 500_000, block: int = 2_000_000, bits: int = 1 << 27) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, local: int = 100_000, block: int = 2_000_000, bits: int = 1 << 26) -> DataFrame:
     """key, n_shingles, component_id and kept for each row.
 
     Rows are linked when 100 * intersection >= ``percent`` * union of their
