@@ -34,11 +34,20 @@ from .tables import read, stored
 U = np.uint64
 ORDER = 7
 SPACE, END = 0x20, 0x0A
+#: Probabilities up to this are given as their log10, which is below 0.
+TINY = 1e-100
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-case words between ASCII white space."""
-    return text.encode().lower().split() if text else []
+def tokens(text: bytes) -> list[bytes]:
+    """Lower-case words between ASCII white space, and the empty word for the end."""
+    return [*text.lower().split(), b""]
+
+
+def unpacked(table: pa.Table):
+    """The texts of a table of packed ones, one at a time."""
+    codec = pa.Codec("zstd")
+    for packed, size in zip(table.column("packed").to_pylist(), table.column("size").to_pylist()):
+        yield codec.decompress(packed, size, asbytes=True)
 
 
 def grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +74,7 @@ def grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
 
 
 def adapted(words: list[bytes], p: list[float]) -> float:
-    """log10 of the probability of a text's words, given the trained probability of each.
+    """log10 of the probability of a text's words, given the trained probability of each (or its log10, see ``TINY``).
 
     ``met`` counts the words so far and ``after`` has what last followed each
     word.  The weight of ``met`` and, by the times in a row that ``after`` was
@@ -78,6 +87,8 @@ def adapted(words: list[bytes], p: list[float]) -> float:
     get, follow, log = met.get, after.get, math.log10
     for w, q in zip(words, p):
         c = get(w, 0)
+        if q < 0:
+            total, q = (total, 0.0) if c else (total + q, 1.0)
         if c:
             m = local * c / n
             q = (1 - local) * q + m
@@ -103,7 +114,7 @@ def adapted(words: list[bytes], p: list[float]) -> float:
         else:
             after[last] = (w, 0)
         near *= q
-        if near < 1e-250:
+        if near < 1e-150:
             total += log(near)
             near = 1.0
         last = w
@@ -209,7 +220,7 @@ def by_parts(vocab: DataFrame, counts: DataFrame, order: int) -> DataFrame:
     return vocab.join(asked.join(answers, "gram").groupBy("word").agg(F.sum("log_p").alias("log_p")), "word")
 
 
-def score(df: DataFrame, key: str, text: str, learn, order: int = ORDER, block_bytes: int = 16 << 20, trie: int = 16_000_000) -> DataFrame:
+def score(df: DataFrame, key: str, text: str, learn, order: int = ORDER, block_bytes: int = 24 << 20, trie: int = 16_000_000) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     ``learn`` is a condition: rows that are trained on.  Null text is empty and
@@ -220,24 +231,32 @@ def score(df: DataFrame, key: str, text: str, learn, order: int = ORDER, block_b
     spark = df.sparkSession
     body = df.select(F.col(key), F.col(text).alias("body"), learn.alias("learn"))
     size = body.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    blocks = max(32, -(-size // block_bytes))
-    docs = body.withColumn("block", F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(blocks)).cast("int"))
+    blocks = max(8, -(-size // block_bytes))
+    kind = df.schema[key].dataType.simpleString()
+    block = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(blocks)).cast("int")
+
+    def pack(batches):
+        codec = pa.Codec("zstd")
+        for b in batches:
+            raw = [(t or "").encode() for t in b.column(3).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([len(t) for t in raw], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary())], names=[key, "learn", "block", "size", "packed"])
+
+    # Texts are shuffled twice, to count and to score: packed, they take half the room.
+    docs = body.select(key, "learn", block.alias("block"), "body").mapInArrow(pack, f"`{key}` {kind}, learn boolean, block int, size long, packed binary")
 
     def count(table: pa.Table) -> pa.Table:
         learned: Counter = Counter()
         other: set = set()
-        for t, l in zip(table.column("body").to_pylist(), table.column("learn").to_pylist()):
+        for t, l in zip(unpacked(table), table.column("learn").to_pylist()):
             if l:
                 learned.update(tokens(t))
-                learned[b""] += 1
             else:
                 other.update(tokens(t))
-        other.add(b"")
-        more = [w for w in other if w not in learned]
-        words = [*learned, *more]
-        return pa.table({"block": pa.array(np.full(len(words), table.column("block")[0].as_py(), np.int32)), "word": pa.array(words, pa.binary()), "n": pa.array([*learned.values(), *[0] * len(more)], pa.int64())})
+        words = sorted(other.union(learned, [b""]))
+        here = np.full(len(words), table.column("block")[0].as_py(), np.int32)
+        return pa.table({"block": here, "place": np.arange(len(words), dtype=np.int32), "word": pa.array(words, pa.binary()), "n": pa.array([learned[w] for w in words], pa.int64())})
 
-    pairs = stored(spark, docs.groupBy("block").applyInArrow(count, "block int, word binary, n long"), "pairs")
+    pairs = stored(spark, docs.groupBy("block").applyInArrow(count, "block int, place int, word binary, n long"), "pairs")
     vocab = stored(spark, pairs.groupBy("word").agg(F.sum("n").alias("n")), "vocab")
     total, distinct = vocab.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 
@@ -259,24 +278,27 @@ def score(df: DataFrame, key: str, text: str, learn, order: int = ORDER, block_b
         scored = vocab.mapInArrow(measure, "word binary, n long, log_p double")
     else:
         scored = by_parts(vocab, counts, order)
-    back = pairs.select("block", "word").join(scored, "word")
+    # A block knows its words by their place in its sorted words, so only numbers travel back.
+    back = pairs.select("block", "place", "word").join(scored, "word").select("block", "place", "n", F.col("log_p").cast("float").alias("log_p"))
 
     def finish(texts: pa.Table, words: pa.Table) -> pa.Table:
-        n = words.column("n").to_numpy()
+        place = words.column("place").to_numpy()
+        n, log_p = np.zeros(len(place), np.int64), np.zeros(len(place))
+        n[place], log_p[place] = words.column("n").to_numpy(), words.column("log_p").to_numpy()
         base = np.log10((n + 1.0) / (total + distinct + 1.0))
-        names = words.column("word").to_pylist()
-        alone = dict(zip(names, base.tolist()))
-        whole = 0.5 * n / max(1, total) + 0.5 * 10.0 ** np.maximum(words.column("log_p").to_numpy(), -200.0)
-        trained = dict(zip(names, whole.tolist()))
-        unseen = {w for w, c in zip(names, n.tolist()) if not c}
+        log_p += np.log10(0.5)
+        whole = 0.5 * n / max(1, total) + 10.0 ** np.maximum(log_p, -200.0)
+        trained = np.where(whole > TINY, whole, log_p)
+        index = {w: i for i, w in enumerate(sorted({b""}.union(*map(tokens, unpacked(texts)))))}
         out = []
-        for t in texts.column("body").to_pylist():
-            got = [*tokens(t), b""]
-            out.append((len(got), len(got) - sum(map(unseen.__contains__, got)), math.fsum(map(alone.__getitem__, got)), adapted(got, list(map(trained.__getitem__, got)))))
-        a = [list(x) for x in zip(*out)] if out else [[], [], [], []]
+        for t in unpacked(texts):
+            got = tokens(t)
+            at = np.fromiter(map(index.__getitem__, got), np.int64, len(got))
+            out.append((len(got), int(np.count_nonzero(n[at])), float(base[at].sum()), adapted(got, trained[at].tolist())))
+        a = list(zip(*out)) if out else [[], [], [], []]
         return pa.table([texts.column(key), pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array([total] * len(out), pa.int64()), pa.array(a[2], pa.float64()), pa.array(a[3], pa.float64())], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return docs.drop("learn").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, schema)
 
 
