@@ -20,12 +20,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .kernels import buffer
 from .tables import read
 
 #: How byte-level tokenizers cut text before merging (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces kept per worker.
-ROOM = 400_000
+ROOM = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -82,7 +83,7 @@ class Codec:
         """The rank of each pair, -1 for none."""
         if not len(self.code):
             return np.full(len(a), -1)
-        code = a << 32 | b
+        code = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
         return np.where(self.code[at] == code, self.order[at], -1)
 
@@ -90,8 +91,8 @@ class Codec:
         """The ids of all pieces one after another, and how many each has."""
         size = np.array([len(p) for p in pieces], np.int64)
         n, ends = int(size.sum()), np.cumsum(size)
-        sym = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        sym = self.single[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int32)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends[size > 0] - 1] = -1
         before[(ends - size)[size > 0]] = -1
         live = np.ones(n, bool)
@@ -134,8 +135,8 @@ class Codec:
             before[to[to >= 0]] = at[to >= 0]
             left = before[at]
             note(np.unique(np.concatenate([left[left >= 0], at[to >= 0]])))
-        owner = np.repeat(np.arange(len(size)), size)
-        return sym[live], np.bincount(owner[live], minlength=len(size))
+        run = np.r_[0, np.cumsum(live)]
+        return sym[live], run[ends] - run[ends - size]
 
     def learn(self, pieces: Iterable[str], chunk: int = 1 << 22) -> None:
         """Keep the ids (joined), their number and their bytes for each piece that is not kept yet."""
@@ -195,7 +196,17 @@ def load(path: str) -> Codec:
         return Codec(f.read())
 
 
-def encode(df: DataFrame, path: str, keep: list[str], text: str = "text", ids: bool = True, chunk: int = 1 << 22) -> DataFrame:
+def as_lists(got: list[tuple[str, int, bytes]]) -> pa.Array:
+    """The ids of an encoded batch as an Arrow list column."""
+    ends = np.cumsum([0, *[g[1] for g in got]]).astype(np.int32)
+    flat = np.empty(ends[-1], np.int32)
+    for g, a, b in zip(got, ends, ends[1:]):
+        if b > a:
+            flat[a:b] = np.array(g[0].split(","), np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def encode(df: DataFrame, path: str, keep: list[str], text: str = "text", ids: bool = True, chunk: int = 1 << 21) -> DataFrame:
     """``keep``, then ids (an array, or null unless asked for), n_tokens, ids_sha256 and decoded_sha256.
 
     Null text is empty; empty text has no ids.  Texts are never cut: pieces of
@@ -207,19 +218,16 @@ def encode(df: DataFrame, path: str, keep: list[str], text: str = "text", ids: b
     def run(batches):
         codec = sent.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            _, offs = buffer(batch.column(len(keep)))
             i = 0
-            while i < len(texts):
-                j, held = i, 0
-                while j < len(texts) and (j == i or held < chunk):
-                    held += len(texts[j])
-                    j += 1
-                got = codec.encode_batch(texts[i:j])
+            while i < len(offs) - 1:
+                j = max(i + 1, int(np.searchsorted(offs, offs[i] + chunk, "right")) - 1)
+                got = codec.encode_batch([t or "" for t in batch.column(len(keep)).slice(i, j - i).to_pylist()])
                 sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
                 yield pa.record_batch(
                     [batch.column(c).slice(i, j - i) for c in range(len(keep))]
                     + [
-                        pa.array([[int(x) for x in g[0].split(",") if x] if ids else None for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.int64()),
+                        as_lists(got) if ids else pa.nulls(j - i, pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.int64()),
                         sha(g[0].encode() for g in got), sha(g[2].decode("utf-8", "replace").encode() for g in got),
                     ],
                     names=[*keep, "ids", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes that are hashed at once; only a single word may be longer.
-SPAN = 1 << 20
+SPAN = 1 << 18
 #: ASCII white space: 0x20 and 0x09-0x0D separate words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

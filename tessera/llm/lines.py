@@ -118,7 +118,7 @@ def _fetch(sent, least: int):
     return run
 
 
-def repeated(df: DataFrame, key: str, text: str, least: int = 16, bits: int = 1 << 27) -> DataFrame:
+def repeated(df: DataFrame, key: str, text: str, least: int = 16, bits: int = 1 << 26) -> DataFrame:
     """(key, line, first_key, near): lines that go, and the key that holds their earlier copy."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body")).filter("key is not null")
@@ -154,7 +154,7 @@ def repeated(df: DataFrame, key: str, text: str, least: int = 16, bits: int = 1
     return out
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 16, bits: int = 1 << 27) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 16, bits: int = 1 << 26) -> DataFrame:
     """All rows and columns, ``text`` without its repeated lines, and n_lines, n_dropped, originals.
 
     Lines end at line feeds.  Lines of fewer than ``least`` characters stay.

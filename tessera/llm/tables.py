@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 from .kernels import U, Bitmap
 
 
+#: Bytes of an Arrow batch, so that long texts do not add up to what a task can't hold.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches; a lower bound of the session stays."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH[0]))
+    if size > BATCH[1]:
+        spark.conf.set(*BATCH)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
