@@ -269,11 +269,12 @@ def score(df: DataFrame, key: str, text: str, learn, order: int = ORDER, block_b
     counts = stored(spark, vocab.filter("n > 0").mapInArrow(gather, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     if counts.count() <= trie:
         got = counts.toArrow()
-        sent = spark.sparkContext.broadcast(Trie(got.column("gram").to_numpy().view(U), got.column("n").to_numpy(), order))
+        sent = spark.sparkContext.broadcast((got.column("gram").to_numpy().view(U), got.column("n").to_numpy()))
 
         def measure(batches):
+            built = Trie(*sent.value, order)  # the levels are many times the counts, so each task builds them
             for b in batches:
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(sent.value.words(b.column(0).to_pylist()))], names=["word", "n", "log_p"])
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(built.words(b.column(0).to_pylist()))], names=["word", "n", "log_p"])
 
         scored = vocab.mapInArrow(measure, "word binary, n long, log_p double")
     else:
