@@ -503,6 +503,6 @@ def sift_descriptors(spark, d):
 
 @query("pair_records")
 def pair_records(spark, d):
-    tiles = S.tile_images(spark, d)
-    truth = tiles.select("image_id", F.array_repeat(F.lit(1), N * N).alias("mask"), F.lit(1).alias("cls"))
-    return sweep.pair_records(tiles, truth, {"u_net": sweep.stub_predictor(), "deeplabv3": sweep.stub_predictor(12)}, sigmas=(2, 18), qualities=(10, 100), max_images=4)
+    tiles = S.large_tiles(spark, d)
+    truth = tiles.select("image_id", F.array_repeat(F.lit(1), F.col("height") * F.col("width")).alias("mask"), F.lit(1).alias("cls"))
+    return sweep.pair_records(tiles, truth, {"u_net": sweep.stub_predictor(), "deeplabv3": sweep.stub_predictor(12)})

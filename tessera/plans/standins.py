@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance2, doubles
+from ..operators.pixels import map_images
 
 DIM, CENTRES, SIDE = 64, 8, 40
 
@@ -52,6 +53,14 @@ def tile_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image_id", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"), F.concat(F.lit("tile/"), "image_id").alias("path"), F.lit("tile").alias("label"))
 
 
+def large_tiles(spark: SparkSession, sf_dir: str, times: int = 5) -> DataFrame:
+    """Tiles in array form, each pixel ``times`` by ``times``: 200 by 200, which MS-SSIM needs."""
+    def one(row, image):
+        yield {**row, "height": SIDE * times, "width": SIDE * times, "data": image.repeat(times, 0).repeat(times, 1).tobytes()}
+
+    return map_images(tile_images(spark, sf_dir), one, "image_id long, height int, width int, nChannels int, data binary, path string, label string")
+
+
 def classes(spark: SparkSession) -> DataFrame:
     return spark.range(10).select(F.col("id").cast("int").alias("cls"))
 

@@ -36,3 +36,10 @@ def test_agrees_with_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["jpeg_variants", "ms_ssim", "pca_gram", "pair_records"])
 def test_has_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_pair_records_has_all_pairs_and_settings(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count() // 25
+    out = catalogue.QUERIES["pair_records"](spark, SF).select("image_i_path", "image_j_path", "sigma", "quality", "ssim_score", "ms_ssim_score").toPandas()
+    assert len(out) == n * (n - 1) // 2 * 90 and not out.duplicated(["image_i_path", "image_j_path", "sigma", "quality"]).any()
+    assert out.ms_ssim_score.notna().all() and out.ssim_score.between(-1, 1).all()

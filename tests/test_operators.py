@@ -163,3 +163,15 @@ def test_sweep_has_a_row_for_each_pair_and_setting(spark):
     out = sweep.pair_records(images, truth, {"u_net": sweep.stub_predictor(), "deeplabv3": sweep.stub_predictor()}, sigmas=(2,), qualities=(10, 90))
     assert out.count() == 6 and len(out.columns) == 20
     assert sweep.grid(spark).count() == 90
+
+
+def test_similarities_of_blocks_are_those_of_single_pairs(spark):
+    side = 176
+    data = [(i, side, side, 1, bytearray(RNG.integers(0, 256, side * side).astype(np.uint8).tobytes())) for i in range(5)]
+    images = spark.createDataFrame(data, "image_id long, height int, width int, nChannels int, data binary")
+    got = {(r.i, r.j, r.sigma, r.quality): (r.ssim_score, r.ms_ssim_score) for r in sweep.similarities(images, (4,), (10, 90), block_bytes=2 * side * side).collect()}
+    made = {i: dict(sweep._variants(np.frombuffer(d, np.uint8).reshape(side, side, 1), 4, (10, 90))) for i, *_, d in data}
+    assert set(got) == {(i, j, 4, q) for i in range(5) for j in range(i + 1, 5) for q in (10, 90)}
+    for (i, j, _, q), scores in got.items():
+        a, b = made[i][q], made[j][q]
+        assert scores == pytest.approx((ssim.ssim(a, b, 255.0), ssim.ms_ssim(a, b, 255.0)))
