@@ -25,7 +25,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that stand in an earlier document or place; drop documents that lose all their words by it."""
-    out = lines.dedup_lines(docs.select(*COLUMNS))
+    out = lines.dedup_lines(docs.select(*COLUMNS), equal=1)
     blank = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"^[\x20\x09-\x0D]*$"))
     kept = out.filter((F.col("n_dropped") == 0) | ~blank)
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

@@ -1,10 +1,12 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines are copies when they are equal or one edit (a character put in,
-taken out or replaced) apart; a line goes when an earlier copy stands
-anywhere in the corpus.  "Earlier" is by (key, line number).
+Two lines are copies when they are equal or, from ``least`` characters on, one
+edit (a character put in, taken out or replaced) apart; a line goes when an
+earlier copy stands anywhere in the corpus.  "Earlier" is by (key, line number).
+Empty lines stay.
 
-1. Equal lines meet by a 128-bit hash.  Of each only the first occurrence goes on.
+1. Equal lines of ``equal`` characters or more meet by a 128-bit hash.  Of each
+   only the first occurrence goes on, if it has ``least`` characters.
 2. One edit leaves a half of a line as it is.  Lines that share no half with
    another line have no copy one edit away, so they emit nothing.
 3. The others emit the hashes of all variants with one character less in the
@@ -55,18 +57,18 @@ def split(column, least: int):
         yield rows, data, chars, low[keep], start[keep], end[keep], row[keep], number[keep], n[keep]
 
 
-def _lines(least: int):
+def _lines(least: int, equal: int):
     def run(batches):
         for batch in batches:
-            for rows, data, chars, low, start, end, row, number, n in split(batch.column(1), least):
+            for rows, data, chars, low, start, end, row, number, n in split(batch.column(1), equal):
                 half, odd = n // 2, n % 2
                 at = np.r_[chars, len(data)]
-                keys = []
+                keys, short = [], n < least  # short lines are equal or not copies: no halves
                 for side, length in ((PREFIX, half), (PREFIX, half - 1 + 2 * odd), (SUFFIX, half), (SUFFIX, half + 1)):
                     s, e = (start, at[low + length]) if side == PREFIX else (at[low + n - length], end)
                     keys.append(K.mix(K.hashes(data, s, e) * U(4) + U(side)).astype(np.int64))
                 yield pa.record_batch(
-                    [batch.column(0).slice(rows.start).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(K.hashes(data, start, end).astype(np.int64)), pa.array(K.hashes(data, start, end, 7).astype(np.int64)), *map(pa.array, keys)],
+                    [batch.column(0).slice(rows.start).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(K.hashes(data, start, end).astype(np.int64)), pa.array(K.hashes(data, start, end, 7).astype(np.int64)), *(pa.array(k, mask=short) for k in keys)],
                     names=["key", "line", "h1", "h2", "p1", "p2", "s1", "s2"],
                 )
 
@@ -118,18 +120,18 @@ def _fetch(sent, least: int):
     return run
 
 
-def repeated(df: DataFrame, key: str, text: str, least: int = 16, bits: int = 1 << 26) -> DataFrame:
+def repeated(df: DataFrame, key: str, text: str, least: int = 16, bits: int = 1 << 26, equal: int | None = None) -> DataFrame:
     """(key, line, first_key, near): lines that go, and the key that holds their earlier copy."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body")).filter("key is not null")
-    lines = stored(spark, docs.mapInArrow(_lines(least), "key long, line int, h1 long, h2 long, p1 long, p2 long, s1 long, s2 long"), "lines")
+    lines = stored(spark, docs.mapInArrow(_lines(least, least if equal is None else min(least, equal)), "key long, line int, h1 long, h2 long, p1 long, p2 long, s1 long, s2 long"), "lines")
     halves = [F.first(c).alias(c) for c in ("p1", "p2", "s1", "s2")]
     unique = stored(spark, lines.groupBy("h1", "h2").agg(F.min(F.struct("key", "line")).alias("ref"), F.count("*").alias("n"), *halves), "unique")
     often = unique.filter("n > 1").select("h1", "h2", F.col("ref").alias("first"))
-    equal = lines.select("key", "line", "h1", "h2").join(often, ["h1", "h2"]).filter("struct(key, line) > first")
-    equal = equal.select("key", "line", F.col("first.key").alias("first_key"), F.lit(False).alias("near"))
+    same = lines.select("key", "line", "h1", "h2").join(often, ["h1", "h2"]).filter("struct(key, line) > first")
+    same = same.select("key", "line", F.col("first.key").alias("first_key"), F.lit(False).alias("near"))
 
-    half = unique.select("ref", F.explode(F.array(*[F.struct(F.col(c).alias("half"), F.lit(s).alias("side")) for c, s in (("p1", PREFIX), ("p2", PREFIX), ("s1", SUFFIX), ("s2", SUFFIX))])).alias("x")).select("ref", "x.*")
+    half = unique.select("ref", F.explode(F.array(*[F.struct(F.col(c).alias("half"), F.lit(s).alias("side")) for c, s in (("p1", PREFIX), ("p2", PREFIX), ("s1", SUFFIX), ("s2", SUFFIX))])).alias("x")).select("ref", "x.*").filter("half is not null")
     shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     taking = half.join(shared, "half", "left_semi").select("ref.key", "ref.line", "side")
     sent = spark.sparkContext.broadcast(bitmap(taking, _tags, bits))
@@ -148,16 +150,17 @@ def repeated(df: DataFrame, key: str, text: str, least: int = 16, bits: int = 1
     apart = F.levenshtein("a", "b", 1)
     near = both.filter((apart >= 0) & (apart <= 1)).groupBy("ref").agg(F.min("first").alias("first"))
     near = near.select("ref.key", "ref.line", F.col("first.key").alias("first_key"), F.lit(True).alias("near"))
-    out = stored(spark, equal.unionByName(near), "repeated")
+    out = stored(spark, same.unionByName(near), "repeated")
     for t in (lines, unique, pairs, texts):
         discard(t)
     return out
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 16, bits: int = 1 << 26) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 16, bits: int = 1 << 26, equal: int | None = None) -> DataFrame:
     """All rows and columns, ``text`` without its repeated lines, and n_lines, n_dropped, originals.
 
-    Lines end at line feeds.  Lines of fewer than ``least`` characters stay.
+    Lines end at line feeds.  Of lines with fewer than ``least`` characters only
+    equal copies go, and those of fewer than ``equal`` (``least`` if not given) stay, as empty lines do.
     ``originals`` are the keys that hold the earlier copies.  Null and empty
     texts stay as they are, as do rows with a null key; rows that repeat a key
     count as one occurrence each of the lines they share at the same place.
@@ -165,7 +168,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     """
     made = ("n_lines", "n_dropped", "originals")
     columns = [c for c in df.columns if c not in made]
-    gone = repeated(df, key, text, least, bits).groupBy("key").agg(F.collect_list("line").alias(LOST), F.array_sort(F.collect_set("first_key")).alias(HELD))
+    gone = repeated(df, key, text, least, bits, equal).groupBy("key").agg(F.collect_list("line").alias(LOST), F.array_sort(F.collect_set("first_key")).alias(HELD))
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(LOST))
     body = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
@@ -179,5 +182,5 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines without copies: counts, where the originals are, and a digest of what stays."""
-    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), equal=1)
     return out.select("doc_id", "n_lines", "n_dropped", "originals", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

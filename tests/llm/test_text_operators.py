@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import bpe, decontaminate, kernels, lines, minhash, ppm, secrets, sharding, toxicity
 
 RNG = np.random.default_rng(5)
@@ -158,6 +159,18 @@ def test_lines_agree_with_brute_force(spark):
     assert out[0].text is None and out[2].text == " \n\t" and out[4].n_dropped == 1 and list(out[4].originals) == [3] and out[3].line == "x"
 
 
+def test_equal_lines_of_any_length_go(spark):
+    texts = ["Read more\nx\n\nfirst", "Read more\nRead mare\n\nx", "é\nRead more", "é", "x\nx"]
+    got = {r.doc_id: (r.text, r.n_dropped, list(r.originals)) for r in lines.dedup_lines(table(spark, texts), equal=1).collect()}
+    assert got == {0: (texts[0], 0, []), 1: ("Read mare\n", 2, [0]), 2: ("é", 1, [0]), 3: ("", 1, [2]), 4: ("", 2, [0])}
+
+
+def test_op6_and_the_pipeline_find_equal_short_lines(spark, tmp_path):
+    table(spark, ["Read more\nfirst text", "Read more\nsecond text"]).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_dropped for r in lines.op6_lines(spark, str(tmp_path)).collect()} == {0: 0, 1: 1}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()} == {0: "Read more\nfirst text", 1: "second text"}
+
+
 @pytest.mark.parametrize("width", [4, 1 << 16])
 def test_shards_are_minimax(spark, width):
     texts = [prose(int(n)) for n in RNG.integers(1, 60, 80)]
