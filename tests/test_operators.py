@@ -1,5 +1,7 @@
 """Numeric kernels against small formulas, properties and error paths."""
 
+import logging
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators import encode, jpeg, learn, masks, pixels, sift, ssim, sweep
 from tessera.sources import images as I
-from tessera.sources import sinks
+from tessera.sources import settings, sinks
 
 RNG = np.random.default_rng(3)
 
@@ -175,3 +177,9 @@ def test_similarities_of_blocks_are_those_of_single_pairs(spark):
     for (i, j, _, q), scores in got.items():
         a, b = made[i][q], made[j][q]
         assert scores == pytest.approx((ssim.ssim(a, b, 255.0), ssim.ms_ssim(a, b, 255.0)))
+
+
+def test_logging_from_a_file_or_by_default(tmp_path):
+    (tmp_path / "log.json").write_text('{"version": 1, "disable_existing_loggers": false, "loggers": {"tessera.probe": {"level": "ERROR"}}}')
+    assert settings.setup_logging(f"{tmp_path}/log.json") and logging.getLogger("tessera.probe").level == logging.ERROR
+    assert not settings.setup_logging(f"{tmp_path}/none.json")
