@@ -515,3 +515,10 @@ def per_image_records(spark, d):
     own = S.descriptors(spark, d).withColumn("image_id", F.expr("desc_id div 25"))  # the vectors that a tile is made of
     predictors = {"u_net": sweep.stub_predictor(), "deeplabv3": sweep.stub_predictor(12)}
     return sweep.per_image_records(tiles, truth, own, S.codebook(spark, d), S.mixture(spark, d), D, predictors)
+
+
+@query("similarity_heatmaps", f"WITH {LONG}, n AS (SELECT image_id, desc_id, pos, x AS v, sqrt(sum(x * x) OVER (PARTITION BY desc_id)) AS n FROM l) SELECT x.image_id AS image_id, x.desc_id AS i, y.desc_id AS j, round(sum(x.v * y.v) / (max(x.n) * max(y.n)), 6) + 0.0 AS cos FROM n x JOIN n y ON x.image_id = y.image_id AND x.pos = y.pos GROUP BY ALL")
+def similarity_heatmaps(spark, d):
+    """The matrix of every image; ``similarity_heatmap`` has that of the first."""
+    v = S.descriptors(spark, d).select("image_id", "desc_id", "v")
+    return v.toDF("image_id", "i", "x").join(v.toDF("image_id", "j", "y"), "image_id").select("image_id", "i", "j", r6(V.cosine(F.col("x"), F.col("y"))).alias("cos"))

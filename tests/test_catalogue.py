@@ -54,3 +54,9 @@ def test_per_image_records_joins_vectors_and_scores_of_all_images(spark):
     assert {r.path for r in rows_} == {f"tile/{i}" for i in range(e.count() // 25)} and len(rows_) == e.count() // 25
     assert all(len(r.vlad_vector) == 8 * 64 and len(r.fisher_vector) == 2 * k * 64 + k for r in rows_)
     assert all(0 <= r[s] <= 1 for r in rows_ for s in scores)
+
+
+def test_similarity_heatmaps_have_every_image(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    out = catalogue.QUERIES["similarity_heatmaps"](spark, SF)
+    assert out.count() == n * 10 and out.select("image_id").distinct().count() == n // 10
