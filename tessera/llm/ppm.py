@@ -1,138 +1,207 @@
 """Language-model scores by prediction by partial matching (PPM).
 
-Words are predicted byte by byte from the last ``order`` bytes of the word (its
-start included), ending with a space; the text's end is a symbol of its own
-where a word would start.  The byte-context trie counts which byte followed
-each context in all training words.  A byte is predicted in the longest context
-seen; where that context never saw it, the model escapes to the next shorter
-one and leaves out the bytes of the longer one (symbol exclusion).  Escapes are
-estimated by method C: as many times as there are different bytes.
-
-A whole word is a context of its own: half of the trained probability is the
-word's share of the training words.  On top, the model adapts to the text it reads: words already met in it, and the
-word that last followed the one before, are mixed into the prediction with
-weights that move by how well each did so far.  All parts are distributions over
-words, so the mixture is one too.
-
-The counts are gathered by shuffles of distinct words and distinct contexts.
-Texts are dealt to blocks; the words of a block travel once to their corpus
-count and code length and back, so no table of words is ever in one place.
+A text is read as its lower-case words, one space after each but the last and a
+line feed at the end.  Each byte is predicted from the bytes before it, across
+word breaks.  The longest context comes first and each hands on what it never
+saw by an escape, leaving its own symbols out below (symbol exclusion):
+
+1. the last ``deep`` bytes, as they stood earlier in the same text (adaptive;
+   a text restarts this level every mebibyte, as bounded PPM models do).  Its
+   escape is estimated from how often contexts of the same age and number of
+   symbols escaped earlier in the text;
+2. the last ``order`` bytes, then one less and so on to none, in the byte trie
+   of all training texts, with escapes by method C: as many times as there are
+   different symbols;
+3. all bytes that no training text has, alike.
+
+The result is a distribution over texts, so scores are code lengths.
+
+Nothing holds the trie or the vocabulary whole.  Texts are packed into blocks of
+bounded size.  A block sends its distinct words and its distinct contexts with a
+symbol to buckets, as sorted and compressed arrays; contexts with the same last
+three bytes share a bucket, so a bucket sees all it needs but the orders 0 to 2.
+Buckets add up the counts, build their part of the trie and send code lengths
+back.  Buckets with much traffic are dealt over salts, and their answers too.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .tables import read, stored
 
 U = np.uint64
-ORDER = 7
+ORDER, DEEP = 5, 12
 SPACE, END = 0x20, 0x0A
-#: Probabilities up to this are given as their log10, which is below 0.
-TINY = 1e-100
+#: Symbols that are looked at together; the adaptive level restarts after so many.
+SPAN = 1 << 20
+#: Prior escape probabilities of adaptive contexts with one symbol, by how often they came, then with two symbols and with more.
+ESCAPES, STRENGTH = (0.2, 0.05, 0.02, 0.01, 0.4, 0.5), 4.0
+WORD, GRAM = 0, 1
+ROW = "block long, kind int, bucket int, salt int, keys binary, vals binary"
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-case words between ASCII white space, and the empty word for the end."""
-    return [*text.lower().split(), b""]
+def normal(raw: bytes | None) -> bytes:
+    """Lower-case words between ASCII white space, joined by a space, and the end."""
+    return b" ".join((raw or b"").lower().split()) + b"\n"
 
 
-def unpacked(table: pa.Table):
-    """The texts of a table of packed ones, one at a time."""
-    codec = pa.Codec("zstd")
-    for packed, size in zip(table.column("packed").to_pylist(), table.column("size").to_pylist()):
-        yield codec.decompress(packed, size, asbytes=True)
+def squeeze(a: np.ndarray) -> bytes:
+    """8-byte values by byte planes, compressed."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(a).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
+
+
+def loosen(data: bytes, kind=U) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 8 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(kind).reshape(-1)
+
+
+def put_keys(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=U(0)))
+
+
+def get_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(loosen(data))
+
+
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and the sum of each one's counts."""
+    key, n = np.concatenate(keys or [np.zeros(0, U)]), np.concatenate(counts or [np.zeros(0, np.int64)])
+    by = np.argsort(key, kind="stable")
+    key, n = key[by], n[by]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
 
+def words(bodies: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """64-bit hashes of the words of whole texts, and each one's text, by chunks.  The end of a text is not among them."""
+    i = 0
+    while i < len(bodies):
+        j, held = i, 0
+        while j < len(bodies) and (j == i or held + len(bodies[j]) <= SPAN):
+            held += len(bodies[j])
+            j += 1
+        data = np.frombuffer(b"".join(bodies[i:j]), np.uint8)
+        offs = np.cumsum([0, *map(len, bodies[i:j])])
+        start, end, row = K.spans(data, offs)
+        yield K.hashes(data, start, end) | U(1), row + i  # 0 stands for the end
+        i = j
 
-def grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Context (low ``order`` bytes) and symbol packed as context << 8 | symbol, for each byte of each word, and the word it is of.
 
-    The empty word stands for the end of a text.
+def symbols(bodies: Iterable[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of texts: gram (the ``order`` bytes before, then the symbol) and segment of each symbol, all bytes, and the text of each segment.
+
+    A text above ``SPAN`` is several segments; contexts reach back across their cuts.
     """
-    size = np.array([len(w) for w in words], np.int64)
-    first = np.cumsum(size + 1) - size - 1
-    n = int(size.sum()) + len(words)
-    sym = np.full(n, SPACE, np.uint8)
-    owner = np.repeat(np.arange(len(words)), size + 1)
-    place = np.arange(n) - first[owner]
-    sym[place < size[owner]] = np.frombuffer(b"".join(words), np.uint8)
-    sym[first[size == 0]] = END
-    context = np.zeros(n, U)
-    for j in range(order, 0, -1):  # the byte j places before; the space before a word starts it
-        before = np.zeros(n, np.uint8)
-        inside = place >= j
-        before[inside] = sym[np.flatnonzero(inside) - j]
-        before[place == j - 1] = SPACE
-        context = context << U(8) | before.astype(U)
-    return context << U(8) | sym.astype(U), owner
-
-
-def adapted(words: list[bytes], p: list[float]) -> float:
-    """log10 of the probability of a text's words, given the trained probability of each (or its log10, see ``TINY``).
-
-    ``met`` counts the words so far and ``after`` has what last followed each
-    word.  The weight of ``met`` and, by the times in a row that ``after`` was
-    right, that of ``after`` go a step toward their share in each prediction.
+    held: list[tuple[int, bytes, bytes]] = []
+
+    def out():
+        data = np.frombuffer(b"".join(lead + part for _, lead, part in held), np.uint8)
+        size = np.array([len(part) for _, _, part in held])
+        keep = np.ones(len(data), bool)
+        start = np.cumsum(size + order) - size - order
+        for j in range(order):
+            keep[start + j] = False
+        gram = np.zeros(len(data) - order, U)
+        for j in range(order + 1):
+            gram = gram << U(8) | data[j : j + len(gram)].astype(U)
+        return gram[keep[order:]], np.repeat(np.arange(len(held)), size), data[keep], np.array([i for i, _, _ in held])
+
+    n = 0
+    for i, body in enumerate(bodies):
+        for at in range(0, len(body), SPAN):
+            part = body[at : at + SPAN]
+            if held and n + len(part) > SPAN:
+                yield out()
+                held, n = [], 0
+            held.append((i, (b"\n" * order + body[max(0, at - order) : at])[-order:], part))
+            n += len(part)
+    if held:
+        yield out()
+
+
+def adapted(data: np.ndarray, segment: np.ndarray, log_p: np.ndarray, deep: int = DEEP) -> np.ndarray:
+    """log10 of the probability of each symbol with the adaptive level over the trained ``log_p``.
+
+    Each symbol's context is the ``deep`` bytes (a multiple of 4) before it in
+    its segment.  Excluded symbols leave the trained distribution with what
+    they have there, which is known from the place where each came first.
     """
-    met: dict[bytes, int] = {}
-    after: dict[bytes, tuple[bytes, int]] = {}
-    trust = [0.02, 0.3, 0.6, 0.8, 0.9]
-    local, total, n, last, near = 0.03, 0.0, 0, b"", 1.0
-    get, follow, log = met.get, after.get, math.log10
-    for w, q in zip(words, p):
-        c = get(w, 0)
-        if q < 0:
-            total, q = (total, 0.0) if c else (total + q, 1.0)
-        if c:
-            m = local * c / n
-            q = (1 - local) * q + m
-            local += 0.05 * (m / q - local)
-        elif n:
-            q *= 1 - local
-            local *= 0.95
-            if local < 0.005:
-                local = 0.005
-        met[w] = c + 1
-        guess = follow(last)
-        if guess is not None:
-            g, run = guess
-            t = trust[run]
-            if g == w:
-                q = (1 - t) * q + t
-                trust[run] = min(t + 0.1 * (t / q - t), 0.98)
-                after[last] = (w, run + 1 if run < 4 else 4)
-            else:
-                q *= 1 - t
-                trust[run] = t * 0.9 if t > 0.01 else t
-                after[last] = (w, 0)
-        else:
-            after[last] = (w, 0)
-        near *= q
-        if near < 1e-150:
-            total += log(near)
-            near = 1.0
-        last = w
-        n += 1
-    return total + log(near)
+    n = len(data)
+    if n <= deep:
+        return log_p
+    wide = np.zeros(n, U)
+    for j in range(4):
+        wide[: n - 3] = wide[: n - 3] << U(8) | data[j : n - 3 + j].astype(U)
+    h = segment[deep:].astype(U)
+    for j in range(0, deep, 4):
+        h = (h ^ wide[j : j + n - deep]) * U(0x9E3779B97F4A7C15)
+        h ^= h >> U(29)
+    h = K.mix(h)
+    # Most contexts never come back: a table of their hashes' first bits leaves those out.
+    bits = max(8, int(n - 1).bit_length() + 2)
+    slot = (h >> U(64 - bits)).astype(np.int64)
+    inside = segment[deep:] == segment[: n - deep]
+    at = np.flatnonzero(inside & (np.bincount(slot[inside], minlength=1 << bits)[slot] > 1))
+    at = at[np.argsort(h[at], kind="stable")]
+    h, at = h[at], at + deep
+    if not len(at):
+        return log_p
+    new = np.r_[True, h[1:] != h[:-1]]
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    total = np.arange(len(at)) - first[group]  # times the context came before
+    code = group << 8 | data[at]
+    by = np.argsort(code, kind="stable")
+    code = code[by]
+    run = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    count = np.empty(len(at), np.int64)  # times the symbol came in it
+    count[by] = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+    fresh = count == 0
+    seen = np.cumsum(fresh) - fresh
+    kinds = seen - seen[first][group]
+    gone = np.cumsum(np.where(fresh, 10.0 ** log_p[at], 0.0))
+    gone -= np.where(fresh, 10.0 ** log_p[at], 0.0)
+    left = 1.0 - (gone - gone[first][group])
+    state = np.where(kinds == 1, np.minimum(total, 4) - 1, np.minimum(kinds, 3) + 2)
+    escape = np.zeros(len(at))
+    met = np.flatnonzero(total > 0)
+    met = met[np.argsort(at[met], kind="stable")]
+    for s, prior in enumerate(ESCAPES):  # what the same state did earlier in the segment
+        own = met[state[met] == s]
+        if len(own):
+            of = segment[at[own]]
+            start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            size = np.diff(np.r_[start, len(own)])
+            miss = np.cumsum(fresh[own]) - fresh[own]
+            miss = miss - np.repeat(miss[start], size)
+            escape[own] = (miss + prior * STRENGTH) / (np.arange(len(own)) - np.repeat(start, size) + STRENGTH)
+    out = log_p.copy()
+    hit, miss = np.flatnonzero(~fresh), np.flatnonzero(fresh & (total > 0))
+    out[at[hit]] = np.log10((1 - escape[hit]) * count[hit] / total[hit])
+    out[at[miss]] += np.log10(escape[miss]) - np.log10(np.maximum(left[miss], 1e-12))
+    return out
 
 
 class Trie:
     """Counts of (context, symbol) of every order, and the code length of any symbol in any context."""
 
-    def __init__(self, gram: np.ndarray, count: np.ndarray, order: int = ORDER, low: tuple | None = None):
-        """``low``: counts for contexts of one byte and none, if ``gram`` has a part of the contexts only."""
-        self.order, self.levels, part = order, [], (gram, count)
+    def __init__(self, gram: np.ndarray, count: np.ndarray, order: int = ORDER, low: tuple = ()):
+        """``low``: grams and counts of the lowest orders, where ``gram`` has a part of the contexts only."""
+        self.order, self.levels = order, []
         for k in range(order + 1):
-            gram, count = low if low is not None and k < 2 else part
-            mask = U((1 << 8 * (k + 1)) - 1)
-            key, at = np.unique(gram & mask, return_inverse=True)
-            n = np.bincount(at, count.astype(float), len(key))
+            value, many = low[k] if k < len(low) else (gram, count)
+            key, at = np.unique(value & U((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            n = np.bincount(at, many.astype(float), len(key))
             node, of = np.unique(key >> U(8), return_inverse=True)
             self.levels.append([key, n, node, np.bincount(of, n, len(node)), np.bincount(of, minlength=len(node)).astype(float), of])
         for k in range(order, 0, -1):
@@ -175,132 +244,197 @@ class Trie:
                 go = known & ~hit
                 total[todo[go]], kinds[todo[go]] = level[5][node[go]], level[6][node[go]]
             todo = todo[~hit]
-        seen = len(self.levels[0][0])
-        out[todo] -= np.log10(max(1, 256 - seen))
+        out[todo] -= np.log10(max(1, 256 - len(self.levels[0][0])))
         return out
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each word with its end."""
-        out = np.zeros(len(words))
-        i = 0
-        while i < len(words):  # in parts of bounded size
-            j, held = i, 0
-            while j < len(words) and (j == i or held < 1 << 21):
-                held += len(words[j]) + 1
-                j += 1
-            gram, owner = grams(words[i:j], self.order)
-            value, at = np.unique(gram, return_inverse=True)
-            out[i:j] = np.bincount(owner, self.log10(value)[at], j - i)
-            i = j
-        return out
 
+class Finder:
+    """Values of sorted keys, found through a table of their hashes."""
 
-def by_parts(vocab: DataFrame, counts: DataFrame, order: int) -> DataFrame:
-    """The words of ``vocab`` with log_p, from a trie that no task holds whole.
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.shift = U(64 - max(8, int(len(keys)).bit_length() + 2))
+        self.table = np.zeros(1 << int(U(64) - self.shift), np.int32)
+        self.table[self._slot(keys)] = np.arange(len(keys))
 
-    All contexts of two or more bytes that a prediction needs end with the
-    same two bytes, so those are the key of a part; the counts of shorter
-    contexts (at most 65536) go to all parts.
-    """
-    part = F.shiftright("gram", 8).bitwiseAND(0xFFFF).alias("part")
-    low = counts.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    sent = vocab.sparkSession.sparkContext.broadcast((low.column("gram").to_numpy().view(U), low.column("n").to_numpy()))
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
-    def ask(batches):
-        for b in batches:
-            gram, owner = grams(b.column(0).to_pylist(), order)
-            yield pa.record_batch([b.column(0).take(pa.array(owner)), pa.array(gram.astype(np.int64))], names=["word", "gram"])
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.table[self._slot(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at[other] = np.searchsorted(self.keys, keys[other])
+        return self.values[at]
 
-    def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
-        trie = Trie(known.column("gram").to_numpy().view(U), known.column("n").to_numpy(), order, sent.value)
-        return pa.table({"gram": asked.column("gram"), "log_p": pa.array(trie.log10(asked.column("gram").to_numpy().view(U)))})
 
-    asked = vocab.select("word").mapInArrow(ask, "word binary, gram long")
-    answers = counts.withColumn("part", part).groupBy("part").cogroup(asked.select("gram").distinct().withColumn("part", part).groupBy("part")).applyInArrow(answer, "gram long, log_p double")
-    return vocab.join(asked.join(answers, "gram").groupBy("word").agg(F.sum("log_p").alias("log_p")), "word")
+def _rows(block: int, kind: int, key: np.ndarray, vals: np.ndarray, bucket: np.ndarray, salt: int) -> Iterator[tuple]:
+    by = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+    for part in np.split(by, cut[1:]) if len(by) else ():
+        yield block, kind, int(bucket[part[0]]), salt, put_keys(key[part]), squeeze(vals[part])
 
 
-def score(df: DataFrame, key: str, text: str, learn, order: int = ORDER, block_bytes: int = 24 << 20, trie: int = 16_000_000) -> DataFrame:
+def _batch(rows: list[tuple], schema: str = ROW) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.record_batch([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def unpacked(table) -> Iterator[bytes]:
+    """The texts of a table of packed ones, one at a time."""
+    codec = pa.Codec("zstd")
+    for packed, size in zip(table.column("packed").to_pylist(), table.column("size").to_pylist()):
+        yield codec.decompress(packed, size, asbytes=True)
+
+
+def score(df: DataFrame, key: str, text: str, learn, order: int = ORDER, deep: int = DEEP, block_bytes: int = 24 << 20) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    ``learn`` is a condition: rows that are trained on.  Null text is empty and
-    has its end only.  Repeated rows each count and each get their row.  The
-    trie is sent to the tasks while it has at most ``trie`` contexts with a
-    symbol; beyond that, parts of it answer what the words ask for.
+    ``learn`` is a condition: rows that are trained on (none if it is null).
+    Null and blank texts are empty and have their end only.  Repeated rows, and
+    rows that share a key or have none, each count and each get their row.
+    Texts may be of any length; nothing of them is left out.  An empty table
+    gives no rows; without training rows every byte is alike.  Columns of
+    ``df`` beside ``key`` and ``text`` play no part; ``key`` may not have the
+    name of a new column.  Words count by 64-bit hashes.
     """
     spark = df.sparkSession
-    body = df.select(F.col(key), F.col(text).alias("body"), learn.alias("learn"))
-    size = body.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    blocks = max(8, -(-size // block_bytes))
+    if not 3 <= order <= 7 or deep % 4 or deep < order:
+        raise ValueError("order is from 3 to 7, deep a multiple of 4 and no less than order")
+    if key in ("n_tokens", "n_known", "train_tokens", "base_score", "score"):
+        raise ValueError(f"the key's name is that of a new column: {key}")
     kind = df.schema[key].dataType.simpleString()
-    block = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(blocks)).cast("int")
+    body = df.select(F.col(key).alias("_key"), F.coalesce(learn, F.lit(False)).alias("_learn"), F.col(text).cast("binary").alias("_body"))
+    size = body.agg(F.coalesce(F.sum(F.octet_length("_body")), F.lit(0))).first()[0]
+    buckets = int(min(4096, max(8, -(-size // (16 << 20)))))
+    salts = int(max(1, -(-size // (buckets * (64 << 20)))))
 
     def pack(batches):
-        codec = pa.Codec("zstd")
+        codec, part = pa.Codec("zstd"), TaskContext.get().partitionId() << 32
+        number, held = 0, 0
         for b in batches:
-            raw = [(t or "").encode() for t in b.column(3).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([len(t) for t in raw], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary())], names=[key, "learn", "block", "size", "packed"])
-
-    # Texts are shuffled twice, to count and to score: packed, they take half the room.
-    docs = body.select(key, "learn", block.alias("block"), "body").mapInArrow(pack, f"`{key}` {kind}, learn boolean, block int, size long, packed binary")
-
-    def count(table: pa.Table) -> pa.Table:
-        learned: Counter = Counter()
-        other: set = set()
-        for t, l in zip(unpacked(table), table.column("learn").to_pylist()):
-            if l:
-                learned.update(tokens(t))
-            else:
-                other.update(tokens(t))
-        words = sorted(other.union(learned, [b""]))
-        here = np.full(len(words), table.column("block")[0].as_py(), np.int32)
-        return pa.table({"block": here, "place": np.arange(len(words), dtype=np.int32), "word": pa.array(words, pa.binary()), "n": pa.array([learned[w] for w in words], pa.int64())})
-
-    pairs = stored(spark, docs.groupBy("block").applyInArrow(count, "block int, place int, word binary, n long"), "pairs")
-    vocab = stored(spark, pairs.groupBy("word").agg(F.sum("n").alias("n")), "vocab")
-    total, distinct = vocab.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+            rows = []
+            for raw in b.column(2).to_pylist():
+                text_ = normal(raw)
+                if held and held + len(text_) > block_bytes:
+                    number, held = number + 1, 0
+                held += len(text_)
+                rows.append((part + number, len(text_), codec.compress(text_, asbytes=True)))
+            yield pa.record_batch([b.column(0), b.column(1), *_batch(rows, "block long, size long, packed binary").columns], names=["key", "learn", "block", "size", "packed"])
+
+    docs = stored(spark, body.mapInArrow(pack, f"key {kind}, learn boolean, block long, size long, packed binary"), "packed")
+
+    def ask(bodies: list[bytes], learned: list[bool], block: int) -> pa.RecordBatch:
+        rows, salt = [], int(K.mix(np.array([block], np.int64).view(U))[0] % U(salts))
+        got: list = [([], []), ([], [])]
+        for training in (True, False):
+            own = [t for t, l in zip(bodies, learned) if l is training]
+            ends = [(np.zeros(1, U), np.array([len(own) * training]))] if own else []
+            for kind_, values in ((WORD, (w for w, _ in words(own))), (GRAM, (g for g, *_ in symbols(own, order)))):
+                for v in values:
+                    v, n = np.unique(v, return_counts=True)
+                    got[kind_][0].append(v)
+                    got[kind_][1].append(n * training)
+            got[WORD][0].extend(k for k, _ in ends)
+            got[WORD][1].extend(n for _, n in ends)
+        for kind_ in (WORD, GRAM):
+            k, n = added(*got[kind_])
+            near = k if kind_ == WORD else k >> U(8) & U(0xFFFFFF)
+            rows += _rows(block, kind_, k, n, (K.mix(near + U(3)) % U(buckets)).astype(np.int64), salt)
+        return _batch(rows)
 
     def gather(batches):
+        held, learned, block, n = [], [], None, 0
+        for b in batches:
+            for t, l, own in zip(unpacked(b), b.column("learn").to_pylist(), b.column("block").to_pylist()):
+                if held and (own != block or n > block_bytes):
+                    yield ask(held, learned, block)
+                    held, learned, n = [], [], 0
+                held.append(t)
+                learned.append(l)
+                block, n = own, n + len(t)
+        if held:
+            yield ask(held, learned, block)
+
+    asked = stored(spark, docs.mapInArrow(gather, ROW), "asked")
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, n = added([get_keys(x) for x in table.column("keys").to_pylist()], [loosen(x, np.int64) for x in table.column("vals").to_pylist()])
+        return pa.Table.from_batches([_batch([(0, table.column("kind")[0].as_py(), table.column("bucket")[0].as_py(), 0, put_keys(keys), squeeze(n))])])
+
+    sums = asked.groupBy("kind", "bucket", "salt").applyInArrow(add, ROW)
+    if salts > 1:
+        sums = sums.groupBy("kind", "bucket").applyInArrow(add, ROW)
+    sums = stored(spark, sums, "sums")
+
+    def tally(batches):
+        """Training tokens and distinct ones; counts of the orders 0 to 2, and the last two bytes of contexts that a bucket needs those for."""
         for b in batches:
-            gram, owner = grams(b.column(0).to_pylist(), order)
-            value, at = np.unique(gram, return_inverse=True)
-            yield pa.record_batch([pa.array(value.astype(np.int64)), pa.array(np.bincount(at, b.column(1).to_numpy()[owner].astype(float)).astype(np.int64))], names=["gram", "n"])
-
-    counts = stored(spark, vocab.filter("n > 0").mapInArrow(gather, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    if counts.count() <= trie:
-        got = counts.toArrow()
-        sent = spark.sparkContext.broadcast((got.column("gram").to_numpy().view(U), got.column("n").to_numpy()))
-
-        def measure(batches):
-            built = Trie(*sent.value, order)  # the levels are many times the counts, so each task builds them
-            for b in batches:
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(built.words(b.column(0).to_pylist()))], names=["word", "n", "log_p"])
-
-        scored = vocab.mapInArrow(measure, "word binary, n long, log_p double")
-    else:
-        scored = by_parts(vocab, counts, order)
-    # A block knows its words by their place in its sorted words, so only numbers travel back.
-    back = pairs.select("block", "place", "word").join(scored, "word").select("block", "place", "n", F.col("log_p").cast("float").alias("log_p"))
-
-    def finish(texts: pa.Table, words: pa.Table) -> pa.Table:
-        place = words.column("place").to_numpy()
-        n, log_p = np.zeros(len(place), np.int64), np.zeros(len(place))
-        n[place], log_p[place] = words.column("n").to_numpy(), words.column("log_p").to_numpy()
-        base = np.log10((n + 1.0) / (total + distinct + 1.0))
-        log_p += np.log10(0.5)
-        whole = 0.5 * n / max(1, total) + 10.0 ** np.maximum(log_p, -200.0)
-        trained = np.where(whole > TINY, whole, log_p)
-        index = {w: i for i, w in enumerate(sorted({b""}.union(*map(tokens, unpacked(texts)))))}
-        out = []
-        for t in unpacked(texts):
-            got = tokens(t)
-            at = np.fromiter(map(index.__getitem__, got), np.int64, len(got))
-            out.append((len(got), int(np.count_nonzero(n[at])), float(base[at].sum()), adapted(got, trained[at].tolist())))
-        a = list(zip(*out)) if out else [[], [], [], []]
-        return pa.table([texts.column(key), pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array([total] * len(out), pa.int64()), pa.array(a[2], pa.float64()), pa.array(a[3], pa.float64())], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            for kind_, bucket, k, v in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "keys", "vals"))):
+                k, n = get_keys(k), loosen(v, np.int64)
+                if kind_ == WORD:
+                    yield pa.record_batch([pa.array([0, 0]), pa.array([-1, -2]), pa.array([int(n.sum()), int((n > 0).sum())])], names=["bucket", "gram", "n"])
+                else:
+                    low, at = np.unique(k & U(0xFFFFFF), return_inverse=True)
+                    yield pa.record_batch([pa.array(np.full(len(low), bucket)), pa.array(low.astype(np.int64)), pa.array(np.bincount(at, n.astype(float), len(low)).astype(np.int64))], names=["bucket", "gram", "n"])
+
+    tallied = stored(spark, sums.mapInArrow(tally, "bucket long, gram long, n long"), "low")
+    whole = dict(tallied.filter("gram < 0").groupBy("gram").agg(F.sum("n")).collect())
+    total, distinct = whole.get(-1, 0), whole.get(-2, 0)
+    three = tallied.filter("gram >= 0").withColumn("two", F.shiftright("gram", 8))
+    low = three.groupBy("gram", "two").agg(F.sum("n").alias("n")).filter("n > 0")
+    one = low.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # at most 65536
+    sent = spark.sparkContext.broadcast((one.column("gram").to_numpy().astype(U), one.column("n").to_numpy()))
+    need = three.select(F.col("bucket").cast("int").alias("bucket"), "two").distinct().join(low, "two").select("bucket", "gram", "n")
+
+    def model(own: pa.Table, low_: pa.Table) -> pa.Table:
+        bucket = own.column("bucket")[0].as_py()
+        keys, n = added([get_keys(x) for x in own.column("keys").to_pylist()], [loosen(x, np.int64) for x in own.column("vals").to_pylist()])
+        trie = Trie(keys[n > 0], n[n > 0], order, (sent.value, sent.value, (low_.column("gram").to_numpy().astype(U), low_.column("n").to_numpy())))
+        return pa.Table.from_batches([_batch([(0, GRAM, bucket, 0, put_keys(keys), squeeze(trie.log10(keys)))])])
+
+    lengths = sums.filter(F.col("kind") == GRAM).groupBy("bucket").cogroup(need.groupBy("bucket")).applyInArrow(model, ROW)
+    counts = sums.filter(F.col("kind") == WORD)
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    answers = stored(spark, lengths.unionByName(counts), "answers").withColumn("salt", spread)
+
+    def reply(own: pa.Table, known: pa.Table) -> pa.Table:
+        kind_ = own.column("kind")[0].as_py()
+        find = Finder(get_keys(known.column("keys")[0].as_py()), loosen(known.column("vals")[0].as_py(), np.float64 if kind_ == GRAM else np.int64))
+        rows = []
+        for block, k in zip(own.column("block").to_pylist(), own.column("keys").to_pylist()):
+            rows.append((block, kind_, 0, 0, k, squeeze(find(get_keys(k)))))
+        return pa.Table.from_batches([_batch(rows)])
+
+    by = ("kind", "bucket", "salt")
+    replies = asked.groupBy(*by).cogroup(answers.groupBy(*by)).applyInArrow(reply, ROW)
+
+    def table_of(replies: pa.Table, kind_: int, dtype) -> Finder:
+        of = np.flatnonzero(replies.column("kind").to_numpy() == kind_)
+        keys, vals = (replies.column(c).take(pa.array(of)).to_pylist() for c in ("keys", "vals"))
+        k = np.concatenate([get_keys(x) for x in keys])
+        v = np.concatenate([loosen(x, dtype) for x in vals])
+        k, at = np.unique(k, return_index=True)
+        return Finder(k, v[at])
+
+    def finish(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        find, length = table_of(replies, WORD, np.int64), table_of(replies, GRAM, np.float64)
+        bodies = list(unpacked(texts))
+        n = len(bodies)
+        end = int(find(np.zeros(1, U))[0])
+        base = np.full(n, np.log10((end + 1) / (total + distinct + 1)))
+        tokens, known, log_p = np.ones(n, np.int64), np.full(n, int(end > 0), np.int64), np.zeros(n)
+        for h, row in words(bodies):
+            c = find(h)
+            base += np.bincount(row, np.log10((c + 1.0) / (total + distinct + 1.0)), n)
+            tokens += np.bincount(row, minlength=n)
+            known += np.bincount(row[c > 0], minlength=n)
+        for gram, segment, data, of in symbols(bodies, order):
+            log_p += np.bincount(of, np.bincount(segment, adapted(data, segment, length(gram), deep), len(of)), n)
+        return pa.table([texts.column("key"), pa.array(tokens), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(log_p)], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.drop("learn").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, schema)
+    return docs.drop("learn").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

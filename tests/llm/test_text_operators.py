@@ -196,44 +196,102 @@ def test_shards_are_minimax(spark, width):
         assert sharding.shard(df.limit(0), 7, key, size, "doc_id").count() == 0
 
 
-def test_ppm_is_a_distribution_and_beats_words(spark):
-    seen = [bytes(RNG.integers(97, 103, RNG.integers(1, 9)).astype(np.uint8)) for _ in range(400)] + [b""]
-    value, count = np.unique(ppm.grams(seen)[0], return_counts=True)
+def naive_ppm(bodies, learned):
+    """log10 of the probability of each text, symbol by symbol from dictionaries."""
+    order, deep, counts = ppm.ORDER, ppm.DEEP, [{} for _ in range(ppm.ORDER + 1)]
+    pad = b"\n" * order
+    for body, l in zip(bodies, learned):
+        for i, s in enumerate(body if l else b""):
+            for k in range(order + 1):
+                counts[k].setdefault((pad + body)[order + i - k : order + i], Counter())[s] += 1
+
+    def trained(context, s):
+        p, out = 1.0, set()
+        for k in range(order, -1, -1):
+            c = counts[k].get(context[order - k :])
+            if c is None:
+                continue
+            left = {x: n for x, n in c.items() if x not in out}
+            t, d = sum(left.values()), len(left)
+            if s in left:
+                return p * left[s] / (t + d)
+            p *= d / (t + d) if d else 1
+            out |= set(c)
+        return p / (256 - len(out))
+
+    result = []
+    for body in bodies:
+        total, after, states = 0.0, {}, {}
+        for i, s in enumerate(body):
+            context = (pad + body)[i : i + order]
+            p, deepest = trained(context, s), body[i - deep : i]
+            if i >= deep:
+                seen = after.setdefault(deepest, Counter())
+                t, kinds = sum(seen.values()), len(seen)
+                if t:
+                    state = min(t, 4) - 1 if kinds == 1 else min(kinds, 3) + 2
+                    had, lost = states.get(state, (0, 0))
+                    escape = (lost + ppm.ESCAPES[state] * ppm.STRENGTH) / (had + ppm.STRENGTH)
+                    states[state] = (had + 1, lost + (s not in seen))
+                    p = (1 - escape) * seen[s] / t if s in seen else escape * p / (1 - sum(trained(context, x) for x in seen))
+                seen[s] += 1
+            total += math.log10(p)
+        result.append(total)
+    return result
+
+
+def test_ppm_is_a_distribution():
+    bodies = [ppm.normal(prose(60).encode()) for _ in range(20)]
+    value, count = np.unique(np.concatenate([g for g, *_ in ppm.symbols(bodies, 5)]), return_counts=True)
     trie = ppm.Trie(value, count)
-    context = np.unique(np.r_[ppm.grams(seen)[0] >> np.uint64(8), RNG.integers(0, 1 << 56, 20).astype(np.uint64)])
     every = np.arange(256, dtype=np.uint64)
-    sums = [(10 ** trie.log10((c << np.uint64(8)) | every)).sum() for c in context]
-    assert min(sums) == pytest.approx(1) and max(sums) == pytest.approx(1)
+    for c in np.r_[value[::37] >> np.uint64(8), RNG.integers(0, 1 << 40, 20).astype(np.uint64)]:
+        assert (10 ** trie.log10((c << np.uint64(8)) | every)).sum() == pytest.approx(1)
+    start = b"some words come again, some words come"
+    total = 0.0
+    for s in range(256):
+        (gram, segment, data, _), = ppm.symbols([start + bytes([s])], 5)
+        total += 10 ** ppm.adapted(data, segment, trie.log10(gram))[-1]
+    assert total == pytest.approx(1)
 
-    texts = [prose(80) for _ in range(30)] + [prose(3) * 20, None, "", "Zzz ZZZ zzz", "Q" * 900 + " w" * 200 + " " + "Q" * 900, "ÿ" * 5000]
-    df = table(spark, texts)
-    learn = F.col("doc_id") % 3 != 0
+
+def test_contexts_reach_back_across_cuts(monkeypatch):
+    bodies = [ppm.normal(prose(n).encode()) for n in (1, 300, 40, 700)] + [b"\n"]
+    whole = [next(ppm.symbols([b], 5))[0].tolist() for b in bodies]
+    monkeypatch.setattr(ppm, "SPAN", 400)
+    cut = [[] for _ in bodies]
+    for gram, segment, _, of in ppm.symbols(bodies, 5):
+        for g, i in zip(gram.tolist(), of[segment].tolist()):
+            cut[i].append(g)
+    assert cut == whole
+
+
+def test_ppm_agrees_with_a_naive_version(spark):
+    long = prose(30)
+    texts = [prose(80) for _ in range(20)] + [" ".join([long] * 4), prose(3) * 20, None, "", " \n", "Zzz ZZZ\x0bzzz", "Q" * 90 + " w" * 50 + " " + "Q" * 90, "ÿ" * 500, "one", "one"]
+    df, learned = table(spark, texts), [i % 3 != 0 for i in range(len(texts))]
+    bodies = [ppm.normal(t.encode() if t else None) for t in texts]
+    want = naive_ppm(bodies, learned)
     known = Counter()
-    for i, t in enumerate(texts):
-        if i % 3:
-            known.update([*words(t), b""])
+    for t, l in zip(texts, learned):
+        known.update([*words(t), b""] if l else [])
     n, v = sum(known.values()), len(known)
-    results = []
-    for limit in (1 << 24, 0):
-        rows = {r.doc_id: r for r in ppm.score(df, "doc_id", "text", learn, trie=limit).collect()}
+    for block in (24 << 20, 200):
+        rows = {r.doc_id: r for r in ppm.score(df, "doc_id", "text", F.col("doc_id") % 3 != 0, block_bytes=block).collect()}
         for i, t in enumerate(texts):
             w = [*words(t), b""]
             assert rows[i].n_tokens == len(w) and rows[i].n_known == sum(known[x] > 0 for x in w) and rows[i].train_tokens == n
-            assert rows[i].base_score == pytest.approx(sum(math.log10((known[x] + 1) / (n + v + 1)) for x in w))
-            assert -1e6 < rows[i].score < 0
-        results.append([rows[i].score for i in range(len(texts))])
-    assert results[0] == pytest.approx(results[1])
-    assert ppm.score(empty(spark), "doc_id", "text", learn).count() == 0
+            assert rows[i].base_score == pytest.approx(sum(math.log10((known[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
+            assert rows[i].score == pytest.approx(want[i], rel=1e-9)
 
 
-def test_adapted_scores_sum_to_one():
-    p = {b"a": 0.5, b"b": 0.3, b"c": 0.2}
-    total = 0.0
-    for x in p:
-        for y in p:
-            for z in p:
-                total += 10 ** ppm.adapted([x, y, z], [p[x], p[y], p[z]])
-    assert total == pytest.approx(1)
+def test_ppm_edges(spark):
+    df = table(spark, ["a b", "a b", None]).withColumn("doc_id", F.when(F.col("doc_id") < 2, 7))
+    rows = ppm.score(df, "doc_id", "text", F.lit(True)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 1), (7, 3), (7, 3)]
+    alone = ppm.score(table(spark, ["ab"]), "doc_id", "text", F.lit(None).cast("boolean")).first()
+    assert alone.score == pytest.approx(-3 * math.log10(256)) and alone.train_tokens == 0 and alone.base_score == pytest.approx(0)
+    assert ppm.score(empty(spark), "doc_id", "text", F.lit(True)).count() == 0
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
