@@ -13,7 +13,8 @@
    with all, then each that is not in the largest class.  Two sets of the
    largest class need no comparison, every other pair has one: no link between
    classes is lost, and a group of ``n`` near copies costs ``n`` comparisons.  Clusters
-   above ``local`` shingles are compared by many tasks, in blocks of queries.
+   above ``local`` shingles are compared part by part, each pair of parts in a group
+   of its own.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import components
-from .tables import bitmap, read, stored
+from .graph import components, roots
+from .tables import bitmap, bits_for, discard, read, stored
 
 U = np.uint64
 BINS, BANDS = 128, 32
@@ -125,28 +126,32 @@ class Classes:
             self.size[i] += self.size[j]
 
 
-def alike(query: np.ndarray, value: np.ndarray, first: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets (sorted slices of ``value``) have 100 * intersection >= percent * union with the sorted ``query``."""
-    at = np.minimum(np.searchsorted(query, value), len(query) - 1)
-    run = np.r_[0, np.cumsum(query[at] == value)]
-    both = run[first + size] - run[first]
-    return 100 * both >= percent * (size + len(query) - both)
+class Sets:
+    """Sorted sets, one after another in ``value``, that queries are compared with."""
+
+    def __init__(self, value: np.ndarray, size: np.ndarray):
+        self.value, self.size, self.first = value, size, np.cumsum(size) - size
+        self.kinds, self.at = np.unique(value, return_inverse=True)
+
+    def one(self, i: int) -> np.ndarray:
+        return self.value[self.first[i] : self.first[i] + self.size[i]]
+
+    def like(self, query: np.ndarray, percent: int) -> np.ndarray:
+        """Which sets have 100 * intersection >= percent * union with the sorted ``query``."""
+        at = np.minimum(np.searchsorted(self.kinds, query), len(self.kinds) - 1)
+        met = np.zeros(len(self.kinds), np.int8)
+        met[at[self.kinds[at] == query]] = 1
+        both = np.add.reduceat(met[self.at], self.first, dtype=np.int64)
+        return np.flatnonzero(100 * both >= percent * (self.size + len(query) - both))
 
 
 def classes(value: np.ndarray, size: np.ndarray, score: np.ndarray, percent: int) -> list[int]:
     """The class (root) of each set of a cluster; ``value`` holds the sorted sets one after another."""
-    n, first = len(size), np.cumsum(size) - size
+    n, every = len(size), Sets(value, size)
     found = Classes(n)
 
     def ask(i: int) -> None:
-        """Join ``i`` with all that are like it; sizes rule out most where they differ much."""
-        fits = np.flatnonzero(100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-        if len(fits) * 4 < n:
-            part, s = np.concatenate([value[first[j] : first[j] + size[j]] for j in fits]), size[fits]
-            hit = fits[alike(value[first[i] : first[i] + size[i]], part, np.cumsum(s) - s, s, percent)]
-        else:
-            hit = np.flatnonzero(alike(value[first[i] : first[i] + size[i]], value, first, size, percent))
-        for j in hit:
+        for j in every.like(every.one(i), percent):
             found.join(i, int(j))
 
     rest = []
@@ -183,8 +188,9 @@ def _unsigned(column) -> tuple[np.ndarray, np.ndarray]:
 
 def link(members: DataFrame, texts: DataFrame, percent: int, local: int, block: int) -> DataFrame:
     """(node, root) of the sets ``rep, cluster, score, n_shingles`` with full sets ``rep, grams``; roots are the smallest of their class."""
+    spark = members.sparkSession
     weight = members.groupBy("cluster").agg(F.sum("n_shingles").alias("w"))
-    giant = stored(members.sparkSession, weight.filter(F.col("w") > local).select("cluster"), "giants")
+    giant = stored(spark, weight.filter(F.col("w") > local), "giants")
     sized = members.hint("merge").join(texts.hint("merge"), "rep")
 
     def near(table: pa.Table) -> pa.Table:
@@ -198,57 +204,55 @@ def link(members: DataFrame, texts: DataFrame, percent: int, local: int, block:
 
     if giant.isEmpty():
         return sized.groupBy("cluster").applyInArrow(near, "node long, root long")
-    sized = stored(members.sparkSession, sized, "sets")
+    sized = stored(spark, sized, "sets")
     small = sized.join(giant, "cluster", "left_anti").groupBy("cluster").applyInArrow(near, "node long, root long")
-    large = sized.join(giant, "cluster", "left_semi")
-    # The centre of each cluster against all its members, then what it leaves against all.
+    # The centre of each giant cluster against all its members, then what it leaves against all.
+    large = sized.join(giant, "cluster")
     centre = members.join(giant, "cluster", "left_semi").groupBy("cluster").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("rep"))
-    edges = compare(large, large.join(centre, ["cluster", "rep"], "left_semi"), percent, block)
-    left = large.join(edges.select(F.col("b").alias("rep")).distinct(), "rep", "left_anti")
-    more = compare(large, left, percent, block)
-    every = edges.unionByName(more).unionByName(large.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-    return small.unionByName(components(every))
+    first = stored(spark, compare(large, large.join(centre, ["cluster", "rep"], "left_semi"), percent, block), "links")
+    inside = first.filter("node <> root").select(F.col("node").alias("rep")).union(centre.select("rep"))
+    left = large.join(inside, "rep", "left_anti")
+    every = first.unionByName(compare(large, left, percent, block))
+    return small.unionByName(components(every.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def compare(members: DataFrame, queries: DataFrame, percent: int, block: int) -> DataFrame:
-    """Edges (a, b) between each query and the members of its cluster that are alike; queries are sent in blocks of about ``block`` shingles."""
-    spark = members.sparkSession
-    queries = stored(spark, queries.select("cluster", "rep", "grams"), "queries")
-    total = queries.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
-    parts, out = -(-total // block), None
-    for p in range(parts):
-        rows = queries.filter(F.pmod(F.xxhash64("rep"), F.lit(parts)) == p).toArrow()
-        if not len(rows):
-            continue
-        value, size = _unsigned(rows.column("grams"))
-        first = np.cumsum(size) - size
-        asked: dict[int, list] = {}
-        for c, r, f, s in zip(rows.column("cluster").to_pylist(), rows.column("rep").to_pylist(), first.tolist(), size.tolist()):
-            asked.setdefault(c, []).append((r, value[f : f + s]))
-        sent = spark.sparkContext.broadcast(asked)
-
-        def run(batches, sent=sent):
-            for b in batches:
-                v, s = _unsigned(b.column("grams"))
-                f = np.cumsum(s) - s
-                rep, cluster = b.column("rep").to_numpy(), b.column("cluster").to_numpy()
-                for c in np.unique(cluster):
-                    own = np.flatnonzero(cluster == c)
-                    for r, q in sent.value.get(int(c), ()):
-                        fits = own[(100 * np.minimum(s[own], len(q)) >= percent * np.maximum(s[own], len(q)))]
-                        if len(fits):
-                            part_ = np.concatenate([v[f[j] : f[j] + s[j]] for j in fits])
-                            hit = fits[alike(q, part_, np.cumsum(s[fits]) - s[fits], s[fits], percent)]
-                            if len(hit):
-                                yield pa.record_batch([pa.array(np.full(len(hit), r, np.int64)), pa.array(rep[hit])], names=["a", "b"])
-
-        got = members.select("cluster", "rep", "grams").mapInArrow(run, "a long, b long")
-        out = got if out is None else out.unionByName(got)
-    empty = spark.createDataFrame([], "a long, b long")
-    return stored(spark, empty if out is None else out, "links")
-
-
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, local: int = 100_000, block: int = 2_000_000, bits: int = 1 << 26) -> DataFrame:
+    """Links (node, root) between each query and the members of its cluster that are alike.
+
+    Members and queries ``cluster, rep, w, grams`` are dealt to parts of about
+    ``block`` shingles; each part of the queries meets each part of the members
+    in a group of its own.  A group names the smallest node of its classes for
+    each set, so its links are as many as its sets.
+    """
+    queries = stored(members.sparkSession, queries.select("cluster", "rep", "w", "grams"), "queries")
+    deal = F.pmod(F.xxhash64("rep"), F.ceil(F.col("w") / F.lit(block))).cast("int")
+    asked = queries.groupBy("cluster").agg(F.ceil(F.sum(F.size("grams")) / F.lit(block)).cast("int").alias("q"))
+    own = members.select("cluster", "rep", "grams", deal.alias("part")).join(asked, "cluster").select("cluster", "rep", "grams", "part", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("ask"))
+    parts = F.sequence(F.lit(0), F.ceil(F.col("w") / F.lit(block)).cast("int") - 1)
+    ask = queries.join(asked, "cluster").select("cluster", "rep", "grams", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int").alias("ask"), F.explode(parts).alias("part"))
+
+    def meet(asked: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(own) or not len(asked):
+            return pa.table({"node": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        sets_, rep = Sets(*_unsigned(own.column("grams"))), own.column("rep").to_numpy()
+        value, size = _unsigned(asked.column("grams"))
+        of, a, b, held = asked.column("rep").to_numpy(), [rep], [rep], 0
+        for r, f, s in zip(of.tolist(), (np.cumsum(size) - size).tolist(), size.tolist()):
+            hit = rep[sets_.like(value[f : f + s], percent)]
+            a.append(np.full(len(hit), r, np.int64))
+            b.append(hit)
+            held += len(hit)
+            if held > 1 << 20:  # as few links as there are sets say the same
+                node, root = roots(np.concatenate(a), np.concatenate(b))
+                a, b, held = [node], [root], 0
+        node, root = roots(np.concatenate(a), np.concatenate(b))
+        return pa.table({"node": node, "root": root})
+
+    by = ("cluster", "part", "ask")
+    return ask.groupBy(*by).cogroup(own.groupBy(*by)).applyInArrow(meet, "node long, root long")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, local: int = 100_000, block: int = 500_000) -> DataFrame:
     """key, n_shingles, component_id and kept for each row.
 
     Rows are linked when 100 * intersection >= ``percent`` * union of their
@@ -269,8 +273,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     cluster = components(stars.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     members = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(score, "rep").join(unique.select("rep", "n_shingles"), "rep")
     members = stored(spark, members, "members")
-    only = bitmap(members.select("rep"), lambda b: K.mix(b.column(0).to_numpy().view(U)), bits)
-    links = stored(spark, link(members, full_sets(docs, "rep", "body", k, only), percent, local, block), "classes").filter("node <> root")
+    discard(stars)
+    bits = bits_for(members.count())
+    if bits:
+        only = bitmap(members.select("rep"), lambda b: K.mix(b.column(0).to_numpy().view(U)), bits)
+        texts = full_sets(docs, "rep", "body", k, only)
+    else:  # more than a bitmap of bounded size can tell apart
+        texts = full_sets(docs.join(members.select("rep"), "rep", "left_semi"), "rep", "body", k)
+    links = stored(spark, link(members, texts, percent, local, block), "classes").filter("node <> root")
     links = links.groupBy(F.col("node").alias("rep")).agg(F.min("root").alias("root"))
     named = unique.join(links, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"), "copies", "root")
     named = named.filter("copies > 1 or root is not null").drop("copies", "root")

@@ -60,6 +60,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bits_for(n: int, most: int = 1 << 28) -> int:
+    """Bits of a bitmap in which few of ``n`` hashes meet by chance: 32 or more for each; 0 if that is above ``most`` (32 MB)."""
+    bits = max(1 << 20, 1 << (32 * max(1, n) - 1).bit_length())
+    return bits if bits <= most else 0
+
+
 def bitmap(df: DataFrame, hashed, bits: int) -> Bitmap:
     """A bitmap of fixed size of the hashes that ``hashed`` makes of each Arrow batch of ``df``.
 

@@ -375,3 +375,23 @@ def test_toxicity_learns_and_scores_all(spark):
     assert toxicity.score(docs, none).filter("score < 0.5").count() == len(texts)
     assert toxicity.score(empty(spark), model).count() == 0
     assert zlib.crc32(b"7") % 5 == spark.range(1).select(F.crc32(F.lit("7")) % 5).first()[0]
+
+
+def test_components_agree_with_union_find(spark):
+    from tessera.llm.graph import components
+
+    pairs = [(int(a), int(b)) for a, b in RNG.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(500, 700)] + [(1000, i) for i in range(1001, 1300)] + [(7777, 7777)]
+    up = {x: x for p in pairs for x in p}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([*pairs, (None, 3)], "a long, b long").repartition(7)
+    for chunk in (1 << 20, 20):
+        assert {r.node: r.root for r in components(df, chunk).collect()} == {x: root(x) for x in up}
+    assert components(df.limit(0)).count() == 0
