@@ -17,8 +17,9 @@ Empty lines stay.
    earliest only: no bucket makes pairs.
 4. The texts of these pairs are fetched and the edit distance is verified.
 
-Which lines take part in 3 and 4 goes to the tasks as a bitmap of fixed size;
-what it lets through by chance is a line all the same and is verified as any.
+Which lines take part in 3 and 4 goes to the tasks as a bitmap sized by their
+number, up to 32 MB; what it lets through by chance is a line all the same and is
+verified as any.  Beyond that, a join hands each text its lines.
 """
 
 from __future__ import annotations
@@ -30,18 +31,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import bitmap, discard, read, stored
+from .tables import bitmap, bits_for, discard, read, stored
 
 U = np.uint64
 BREAK = np.zeros(256, bool)
 BREAK[10] = True
-PREFIX, SUFFIX = 1, 2
+PREFIX, SUFFIX, TEXT = 1, 2, 3
 #: Names that no input has.
-OWNER, LOST, HELD = "__tessera_owner", "__tessera_lost", "__tessera_held"
+OWNER, OWN_TEXT, LOST, HELD = "__tessera_owner", "__tessera_own_text", "__tessera_lost", "__tessera_held"
 
 
-def tag(key: np.ndarray, line: np.ndarray, side: int) -> np.ndarray:
-    return K.mix(K.mix(key.astype(np.int64).view(U) ^ U(0x9E3779B97F4A7C15)) + line.astype(np.int64).view(U) * U(4) + U(side))
+def tag(key: np.ndarray, h1: np.ndarray, side) -> np.ndarray:
+    """One hash for a line (by its hash) under a key and what is asked of it."""
+    side = np.asarray(side, np.int64).astype(U)
+    return K.mix(K.mix(key.astype(np.int64).view(U) ^ U(0x9E3779B97F4A7C15)) + (h1.astype(np.int64).view(U) ^ side * U(0xD1342543DE82EF95)))
 
 
 def split(column, least: int):
@@ -60,119 +63,153 @@ def split(column, least: int):
 def _lines(least: int, equal: int):
     def run(batches):
         for batch in batches:
-            for rows, data, chars, low, start, end, row, number, n in split(batch.column(1), equal):
+            for rows, data, chars, low, start, end, row, number, n in split(batch.column(2), equal):
                 half, odd = n // 2, n % 2
                 at = np.r_[chars, len(data)]
                 keys, short = [], n < least  # short lines are equal or not copies: no halves
                 for side, length in ((PREFIX, half), (PREFIX, half - 1 + 2 * odd), (SUFFIX, half), (SUFFIX, half + 1)):
                     s, e = (start, at[low + length]) if side == PREFIX else (at[low + n - length], end)
                     keys.append(K.mix(K.hashes(data, s, e) * U(4) + U(side)).astype(np.int64))
+                h1 = K.hashes(data, start, end)
+                own = [batch.column(c).slice(rows.start).take(pa.array(row)) for c in (0, 1)]
                 yield pa.record_batch(
-                    [batch.column(0).slice(rows.start).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(K.hashes(data, start, end).astype(np.int64)), pa.array(K.hashes(data, start, end, 7).astype(np.int64)), *(pa.array(k, mask=short) for k in keys)],
-                    names=["key", "line", "h1", "h2", "p1", "p2", "s1", "s2"],
+                    [*own, pa.array(number.astype(np.int32)), pa.array(_again(row, h1)), pa.array(h1.astype(np.int64)), pa.array(K.hashes(data, start, end, 7).astype(np.int64)), *(pa.array(k, mask=short) for k in keys)],
+                    names=["key", "t", "line", "again", "h1", "h2", "p1", "p2", "s1", "s2"],
                 )
 
     return run
 
 
-def _tags(batch: pa.RecordBatch) -> np.ndarray:
-    key, line, side = (batch.column(c).to_numpy() for c in ("key", "line", "side"))
-    return np.concatenate([tag(key[side == s], line[side == s], int(s)) for s in np.unique(side)]) if len(side) else np.zeros(0, U)
-
-
-def _variants(sent, least: int):
-    def run(batches):
-        asked = sent.value
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            for rows, data, _, _, start, end, row, number, n in split(batch.column(1), least):
-                of = key[rows.start + row]
-                sides = asked.has(tag(of, number, PREFIX)) * PREFIX + asked.has(tag(of, number, SUFFIX)) * SUFFIX
-                value, place, who, no = [], [], [], []
-                hit = np.flatnonzero(sides)
-                own = K.hashes(data, start[hit], end[hit])
-                for i, h in zip(hit.tolist(), own):
-                    m = int(n[i])
-                    first = 0 if sides[i] & SUFFIX else max(0, m // 2 - 1)
-                    last = m if sides[i] & PREFIX else min(m, m - m // 2 + 1)
-                    value += [np.array([h], U), K.deletions(data[start[i] : end[i]], first, last)]
-                    place.append(np.r_[-1, np.arange(first, last)])
-                    who.append(np.full(last - first + 1, of[i]))
-                    no.append(np.full(last - first + 1, number[i]))
-                    if len(place) >= 4096 or i == hit[-1]:
-                        yield pa.record_batch([pa.array(np.concatenate(value).astype(np.int64)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(who).astype(np.int64)), pa.array(np.concatenate(no).astype(np.int32))], names=["v", "place", "key", "line"])
-                        value, place, who, no = [], [], [], []
-
-    return run
-
-
-def _fetch(sent, least: int):
-    def run(batches):
-        asked = sent.value
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            for rows, data, _, _, start, end, row, number, _ in split(batch.column(1), least):
-                of = key[rows.start + row]
-                hit = np.flatnonzero(asked.has(tag(of, number, 0)))
-                text = [data[start[i] : end[i]].tobytes().decode() for i in hit]
-                yield pa.record_batch([pa.array(of[hit].astype(np.int64)), pa.array(number[hit].astype(np.int32)), pa.array(text, pa.string())], names=["key", "line", "text"])
-
-    return run
+def _again(row: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    """Which lines stand in their text before."""
+    by = np.lexsort((h1, row))
+    out = np.zeros(len(row), bool)
+    out[by[1:]] = (row[by[1:]] == row[by[:-1]]) & (h1[by[1:]] == h1[by[:-1]])
+    return out
 
 
-def repeated(df: DataFrame, key: str, text: str, least: int = 16, bits: int = 1 << 26, equal: int | None = None) -> DataFrame:
-    """(key, line, first_key, near): lines that go, and the key that holds their earlier copy."""
+def _tags(batch: pa.RecordBatch) -> np.ndarray:
+    return tag(*(batch.column(c).to_numpy() for c in ("key", "h1", "side")))
+
+
+class Listed:
+    """The tags that a batch brings along."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        marks = batch.column("marks")
+        of = np.repeat(batch.column("key").to_numpy(), np.diff(marks.offsets.to_numpy()))
+        h1, side = (marks.flatten().field(c).to_numpy() for c in ("h1", "side"))
+        self.tags = np.unique(tag(of, h1, side))
+
+    def has(self, value: np.ndarray) -> np.ndarray:
+        return np.isin(value, self.tags)
+
+
+def asking(docs: DataFrame, wanted: DataFrame, work, schema: str) -> DataFrame:
+    """``work(batch, asked)`` over texts with lines in ``wanted`` (key, h1, side); ``asked.has`` takes tags."""
+    bits = bits_for(wanted.count())
+    if bits:
+        sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, _tags, bits))
+        return docs.mapInArrow(lambda batches: (x for b in batches for x in work(b, sent.value)), schema)
+    marks = wanted.groupBy("key").agg(F.collect_list(F.struct("h1", "side")).alias("marks"))
+    return docs.join(marks, "key").select("key", "t", "body", "marks").mapInArrow(lambda batches: (x for b in batches for x in work(b, Listed(b))), schema)
+
+
+def _variants(least: int):
+    def work(batch, asked):
+        key, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for rows, data, _, _, start, end, row, number, n in split(batch.column(2), least):
+            of, text, h1 = key[rows.start + row], t[rows.start + row], K.hashes(data, start, end)
+            sides = asked.has(tag(of, h1, PREFIX)) * PREFIX + asked.has(tag(of, h1, SUFFIX)) * SUFFIX
+            value, place, who, size = [], [], [], 0
+            hit = np.flatnonzero((sides > 0) & ~_again(row, h1))
+            for i in hit.tolist():
+                m = int(n[i])
+                first = 0 if sides[i] & SUFFIX else max(0, m // 2 - 1)
+                last = m if sides[i] & PREFIX else min(m, m - m // 2 + 1)
+                value += [h1[i : i + 1], K.deletions(data[start[i] : end[i]], first, last)]
+                place.append(np.r_[-1, np.arange(first, last)])
+                who.append(i)
+                size += last - first + 1
+                if size >= 1 << 17 or i == hit[-1]:
+                    w = np.repeat(who, [len(p) for p in place])
+                    yield pa.record_batch([pa.array(np.concatenate(value).astype(np.int64)), pa.array(np.concatenate(place).astype(np.int32)), *(pa.array(c[w].astype(k)) for c, k in ((of, np.int64), (number, np.int32), (text, np.int64), (h1, np.int64)))], names=["v", "place", "key", "line", "t", "h1"])
+                    value, place, who, size = [], [], [], 0
+
+    return work
+
+
+def _fetch(least: int):
+    def work(batch, asked):
+        key, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for rows, data, _, _, start, end, row, number, _ in split(batch.column(2), least):
+            of, h1 = key[rows.start + row], K.hashes(data, start, end)
+            hit = np.flatnonzero(asked.has(tag(of, h1, TEXT)) & ~_again(row, h1))
+            text = [data[start[i] : end[i]].tobytes().decode() for i in hit]
+            yield pa.record_batch([pa.array(of[hit].astype(np.int64)), pa.array(number[hit].astype(np.int32)), pa.array(t[rows.start + row[hit]].astype(np.int64)), pa.array(text, pa.string())], names=["key", "line", "t", "text"])
+
+    return work
+
+
+def repeated(df: DataFrame, key: str, text: str, least: int = 16, equal: int | None = None) -> DataFrame:
+    """(key, t, line, first_key, near): lines that go, ``t`` the xxhash64 of their text, and the key that holds their earlier copy."""
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body")).filter("key is not null")
-    lines = stored(spark, docs.mapInArrow(_lines(least, least if equal is None else min(least, equal)), "key long, line int, h1 long, h2 long, p1 long, p2 long, s1 long, s2 long"), "lines")
+    docs = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("t"), F.col(text).alias("body")).filter("key is not null")
+    found = docs.select("key", "t", "body").mapInArrow(_lines(least, least if equal is None else min(least, equal)), "key long, t long, line int, again boolean, h1 long, h2 long, p1 long, p2 long, s1 long, s2 long")
+    lines = stored(spark, found, "lines")
     halves = [F.first(c).alias(c) for c in ("p1", "p2", "s1", "s2")]
-    unique = stored(spark, lines.groupBy("h1", "h2").agg(F.min(F.struct("key", "line")).alias("ref"), F.count("*").alias("n"), *halves), "unique")
-    often = unique.filter("n > 1").select("h1", "h2", F.col("ref").alias("first"))
-    same = lines.select("key", "line", "h1", "h2").join(often, ["h1", "h2"]).filter("struct(key, line) > first")
-    same = same.select("key", "line", F.col("first.key").alias("first_key"), F.lit(False).alias("near"))
+    unique = stored(spark, lines.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("n"), *halves), "unique")
+    often = unique.filter("n > 1").select("h1", "h2", F.col("key").alias("first_key"))
+    same = lines.select("key", "t", "line", "again", "h1", "h2").join(often, ["h1", "h2"]).filter("again or key > first_key")
+    same = same.select("key", "t", "line", "first_key", F.lit(False).alias("near"))
 
-    half = unique.select("ref", F.explode(F.array(*[F.struct(F.col(c).alias("half"), F.lit(s).alias("side")) for c, s in (("p1", PREFIX), ("p2", PREFIX), ("s1", SUFFIX), ("s2", SUFFIX))])).alias("x")).select("ref", "x.*").filter("half is not null")
+    half = unique.select("key", "h1", F.explode(F.array(*[F.struct(F.col(c).alias("half"), F.lit(s).alias("side")) for c, s in (("p1", PREFIX), ("p2", PREFIX), ("s1", SUFFIX), ("s2", SUFFIX))])).alias("x")).select("key", "h1", "x.*").filter("half is not null")
     shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    taking = half.join(shared, "half", "left_semi").select("ref.key", "ref.line", "side")
-    sent = spark.sparkContext.broadcast(bitmap(taking, _tags, bits))
-    variants = docs.mapInArrow(_variants(sent, least), "v long, place int, key long, line int").select("v", "place", F.struct("key", "line").alias("ref")).repartition("v")
+    taking = stored(spark, half.join(shared, "half", "left_semi").select("key", "h1", "side"), "taking")
+    variants = asking(docs, taking, _variants(least), "v long, place int, key long, line int, t long, h1 long").select("v", "place", F.struct("key", "line", "t", "h1").alias("ref")).repartition("v")
     own, cut = F.when(F.col("place") < 0, F.col("ref")), F.when(F.col("place") >= 0, F.col("ref"))
     with_v = W.partitionBy("v")
-    seen = variants.withColumn("own", F.min(own).over(with_v)).withColumn("cut", F.min(cut).over(with_v)).withColumn("same", F.min("ref").over(W.partitionBy("v", "place")))
+    seen = variants.withColumn("same", F.min("ref").over(W.partitionBy("v", "place"))).withColumn("own", F.min(own).over(with_v)).withColumn("cut", F.min(cut).over(with_v))
     first = F.when(F.col("place") < 0, F.array("cut")).otherwise(F.array("own", "same"))
-    pairs = seen.select("ref", F.explode(first).alias("first")).filter("first < ref").distinct()
+    pairs = seen.select("ref", F.explode(first).alias("first")).filter("first < ref and (first.key <> ref.key or first.t = ref.t)").distinct()
     pairs = stored(spark, pairs, "pairs")
 
-    ends = pairs.select("ref.*").union(pairs.select("first.*")).distinct().withColumn("side", F.lit(0))
-    asked = spark.sparkContext.broadcast(bitmap(ends, _tags, bits))
-    texts = stored(spark, docs.mapInArrow(_fetch(asked, least), "key long, line int, text string").select(F.struct("key", "line").alias("at"), "text").dropDuplicates(["at"]), "texts")
-    both = pairs.join(texts.toDF("ref", "a"), "ref").join(texts.toDF("first", "b"), "first")
+    ends = pairs.select("ref.key", "ref.h1").union(pairs.select("first.key", "first.h1")).distinct().withColumn("side", F.lit(TEXT))
+    texts = stored(spark, asking(docs, ends, _fetch(least), "key long, line int, t long, text string").dropDuplicates(["key", "line", "t"]), "texts")
+    at = ("key", "line", "t")
+    both = pairs.select(*[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("ref", "first") for c in at])
+    for end, name in (("ref", "a"), ("first", "b")):
+        both = both.join(texts.toDF(*[f"{end}_{c}" for c in at], name), [f"{end}_{c}" for c in at])
     apart = F.levenshtein("a", "b", 1)
-    near = both.filter((apart >= 0) & (apart <= 1)).groupBy("ref").agg(F.min("first").alias("first"))
-    near = near.select("ref.key", "ref.line", F.col("first.key").alias("first_key"), F.lit(True).alias("near"))
+    near = both.filter((apart >= 0) & (apart <= 1)).groupBy(*[F.col(f"ref_{c}").alias(c) for c in at]).agg(F.min("first_key").alias("first_key"))
+    near = near.select("key", "t", "line", "first_key", F.lit(True).alias("near"))
     out = stored(spark, same.unionByName(near), "repeated")
-    for t in (lines, unique, pairs, texts):
-        discard(t)
+    for table in (lines, unique, taking, pairs, texts):
+        discard(table)
     return out
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 16, bits: int = 1 << 26, equal: int | None = None) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 16, equal: int | None = None) -> DataFrame:
     """All rows and columns, ``text`` without its repeated lines, and n_lines, n_dropped, originals.
 
     Lines end at line feeds.  Of lines with fewer than ``least`` characters only
     equal copies go, and those of fewer than ``equal`` (``least`` if not given) stay, as empty lines do.
     ``originals`` are the keys that hold the earlier copies.  Null and empty
-    texts stay as they are, as do rows with a null key; rows that repeat a key
-    count as one occurrence each of the lines they share at the same place.
-    Columns of ``df`` with the names of the new ones are replaced.
+    texts stay as they are, as do rows with a null key.  Equal rows are one
+    document and lose the same lines; rows that share a key only are not
+    compared with each other, and a line that they share stays in each.
+    The key is a whole number; ValueError for another.  Columns of ``df``
+    with the names of the new ones are replaced.
     """
+    if df.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"the key must be a whole number: {key}")
     made = ("n_lines", "n_dropped", "originals")
     columns = [c for c in df.columns if c not in made]
-    gone = repeated(df, key, text, least, bits, equal).groupBy("key").agg(F.collect_list("line").alias(LOST), F.array_sort(F.collect_set("first_key")).alias(HELD))
+    gone = repeated(df, key, text, least, equal).groupBy(F.col("key").alias(OWNER), F.col("t").alias(OWN_TEXT)).agg(F.collect_set("line").alias(LOST), F.array_sort(F.collect_set("first_key")).alias(HELD))
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(LOST))
     body = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    out = df.select(*columns).join(gone.withColumnRenamed("key", OWNER), F.col(key) == F.col(OWNER), "left")
+    out = df.select(*columns).join(gone, (F.col(key) == F.col(OWNER)) & (F.xxhash64(text) == F.col(OWN_TEXT)), "left")
     none = F.array().cast("array<bigint>")
     return out.select(
         *[F.when(F.col(LOST).isNull(), F.col(text)).otherwise(body).alias(text) if c == text else F.col(c) for c in columns],

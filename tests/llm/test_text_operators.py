@@ -61,7 +61,7 @@ def test_kernels_agree_with_python():
     assert kernels.deletions(line, 0, 5).tolist() == [int(kernels.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in want]
 
 
-def test_near_duplicates_agree_with_brute_force(spark):
+def test_near_duplicates_agree_with_brute_force(spark, monkeypatch):
     base = [prose(60) for _ in range(12)]
     texts = list(base)
     for b in base[:8]:
@@ -85,7 +85,9 @@ def test_near_duplicates_agree_with_brute_force(spark):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
     want = {i: (len(sets[i]), root(i)) for i in range(len(texts))}
-    for options in ({}, {"local": 100, "block": 150}):
+    for options in ({}, {"local": 100, "block": 150}, {"local": 100}):
+        if options == {"local": 100}:  # as if there were more sets than a bitmap tells apart
+            monkeypatch.setattr(minhash, "bits_for", lambda n: 0)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, k=2, **options).collect()}
         assert got == want
     assert minhash.near_duplicates(empty(spark)).count() == 0
@@ -125,7 +127,10 @@ def test_leaks_agree_with_brute_force(spark):
     assert decontaminate.clean(odd(spark), right.limit(0)).count() == 7
 
 
-def test_lines_agree_with_brute_force(spark):
+@pytest.mark.parametrize("bits", [None, 0])
+def test_lines_agree_with_brute_force(spark, monkeypatch, bits):
+    if bits == 0:  # as if there were more lines than a bitmap tells apart
+        monkeypatch.setattr(lines, "bits_for", lambda n: 0)
     pool = [prose(RNG.integers(4, 9)) for _ in range(40)]
     pool += ["counter number %d of many" % i for i in range(12)] + ["aaaaaaaaaaaaaaaaaaaaaaab", "aaaaaaaaaaaaaaaaaaaaaab"]
     for p in list(pool[:20]):
@@ -159,6 +164,15 @@ def test_lines_agree_with_brute_force(spark):
     assert out[0].text is None and out[2].text == " \n\t" and out[4].n_dropped == 1 and list(out[4].originals) == [3] and out[3].line == "x"
 
 
+def test_rows_that_share_a_key(spark):
+    long = "a line that is long enough"
+    rows = [(1, f"{long}\nx\nx"), (1, f"y\n{long}"), (1, f"y\n{long}"), (2, f"{long}!\nx"), (None, "x\nx"), (3, None)]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("originals", F.lit(9)), equal=1).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.n_dropped) for r in out) == [(0, "x\nx", 0), (1, f"{long}\nx", 1), (1, f"y\n{long}", 0), (1, f"y\n{long}", 0), (2, "", 2), (3, "", 0)]
+    with pytest.raises(ValueError):
+        lines.dedup_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_equal_lines_of_any_length_go(spark):
     texts = ["Read more\nx\n\nfirst", "Read more\nRead mare\n\nx", "é\nRead more", "é", "x\nx"]
     got = {r.doc_id: (r.text, r.n_dropped, list(r.originals)) for r in lines.dedup_lines(table(spark, texts), equal=1).collect()}
