@@ -127,6 +127,15 @@ def shingles(word: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np
     return np.concatenate(out), np.concatenate(of), count
 
 
+def phrases(word: np.ndarray, row: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of ``m`` words and their rows, equal to what ``shingles`` gives for a row of just those words."""
+    value = np.full(max(0, len(word) - m + 1), m, U)
+    for j in range(m):
+        value = value * U(0xD1342543DE82EF95) + word[j : j + len(value)]
+    good = row[: len(value)] == row[m - 1 :][: len(value)] if len(value) else np.zeros(0, bool)
+    return mix(value[good]), row[: len(value)][good]
+
+
 def distinct(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of each row, by row and value."""
     order = np.lexsort((value, row))

@@ -53,7 +53,9 @@ def scan(df: DataFrame, key: str, text: str, scope: int = 240) -> DataFrame:
     code points of its start.  The parts of a row are swept in order, keeping
     the nearest start of each kind on either side, so the interval join makes
     no pairs.  Null text is empty; rows without a span have an empty array;
-    repeated rows each keep their own.
+    repeated rows, and rows with a null key, each keep their own.  Texts are
+    read whole, whatever their length.  An empty table gives no rows, and other
+    columns, whatever their names, play no part.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     kinds = BASE | WEAK
@@ -92,5 +94,6 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts of the base kinds, a digest of their spans, and all spans with linked parts."""
     got = scan(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     base = F.filter("spans", lambda x: x.k < len(BASE))
-    counts = [F.size(F.filter("spans", lambda x, i=i: x.k == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    of = lambda i: F.filter("spans", lambda x: x.k == i)  # noqa: E731  a second parameter would be the place
+    counts = [F.size(of(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return got.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
