@@ -105,18 +105,27 @@ def encode_adpcm(samples: np.ndarray, width: int = 256) -> np.ndarray:
 
 
 def resample(samples: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Linear interpolation; the last sample is held.  No samples give none."""
+    """Linear interpolation, rounded to even; the last sample is held.  No samples give none.
+
+    On the way down, each sample is first the mean of those around it, as many
+    as one of the target spans, so that what is too high for it goes.
+    """
     if source == target or not len(samples):
         return samples
     n = -(-len(samples) * target // source)
+    wide = samples.astype(np.int32)
     if target == 2 * source:
         out = np.empty(n, np.int16)
         out[::2] = samples
-        wide = samples.astype(np.int32)
-        out[1:-1:2] = (wide[:-1] + wide[1:]) >> 1
+        both = wide[:-1] + wide[1:]
+        out[1:-1:2] = (both >> 1) + (both & (both >> 1) & 1)
         out[-1] = samples[-1]
         return out
-    return np.rint(np.interp(np.arange(n) * source / target, np.arange(len(samples)), samples)).astype(np.int16)
+    width = -(-source // target) | 1
+    if target < source:
+        run = np.r_[0.0, np.cumsum(np.pad(wide, width // 2, "edge").astype(float))]
+        wide = (run[width:] - run[:-width]) / width
+    return np.rint(np.interp(np.arange(n) * source / target, np.arange(len(samples)), wide)).astype(np.int16)
 
 
 def wave(data: bytes, codec: str, rate: int = RATE, width: int = 256) -> bytes:
@@ -170,17 +179,25 @@ def features(samples: np.ndarray) -> str:
     return f"n={len(samples)};rms={rms:.1f};zcr={1000 * turns / len(samples):.2f};peak={max(int(samples.max()), -int(samples.min()))}"
 
 
-def telephony(df: DataFrame, column: str, keep: list[str], codec: str = "mulaw", target: int = 2 * RATE, pcm: bool = True) -> DataFrame:
+def telephony(df: DataFrame, column: str, keep: list[str], codec: str = "mulaw", target: int = 2 * RATE) -> DataFrame:
     """Store a text or binary column as telephony audio and as resampled PCM.
 
     Each value's bytes (null: none), padded to whole blocks of 64, become the
-    data of a WAVE file (``media``); they are read back, expanded and resampled
-    to ``pcm`` (a WAVE file at ``target`` Hz; left out unless asked for).
-    Columns: ``keep``, then n_bytes, payload (as read back), media, pcm,
-    feature, blocks (features of the payload as ADPCM blocks of 64 bytes).
-    Files of more than 2 GiB would not fit a cell.
+    data of a WAVE file (``media``); they are read back from it, expanded by the
+    codec's table (``mulaw`` or ``alaw``) and resampled to ``pcm``, a WAVE file
+    at ``target`` Hz.  Columns: ``keep``, then n_bytes, payload (as read back),
+    media, pcm, feature (of the PCM as read back), other (of the payload under
+    the other law) and blocks (of the payload as ADPCM blocks of 64 bytes).
+    Every row gives one, repeats and null keys too; an empty table gives none.
+    ``keep`` and ``column`` must name one column each and ``keep`` none of the
+    new ones: ValueError.  Files of more than 2 GiB would not fit a cell.
     """
-    fields = [df.schema[c] for c in keep]
+    made = ("n_bytes", "payload", "media", "pcm", "feature", "other", "blocks")
+    if set(keep) & set(made) or any(df.columns.count(c) != 1 for c in (*keep, column)):
+        raise ValueError(f"names clash: {keep}")
+    if codec not in TABLES:
+        raise ValueError(f"not a companding law: {codec}")
+    fields, law = [df.schema[c] for c in keep], "alaw" if codec == "mulaw" else "mulaw"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,40 +205,43 @@ def telephony(df: DataFrame, column: str, keep: list[str], codec: str = "mulaw",
             i = 0
             while i < len(offs) - 1:
                 j = max(i + 1, int(np.searchsorted(offs, offs[i] + BATCH, "right")) - 1)
-                media, back, sound, feature, sizes = [], [], [], [], []
+                media, back, sound, feature, other, sizes = [], [], [], [], [], []
                 for r in range(i, j):
                     sizes.append(int(offs[r + 1] - offs[r]))
                     media.append(wave(payload(data[offs[r] : offs[r + 1]].tobytes()), codec))
                     kind, rate, _, stored = parse(media[-1])
                     back.append(bytes(stored))
-                    samples = resample(expand(np.frombuffer(stored, np.uint8), kind), rate, target)
-                    feature.append(features(samples))
-                    sound.append(wave(samples.tobytes(), "pcm", target) if pcm else None)
+                    codes = np.frombuffer(stored, np.uint8)
+                    sound.append(wave(resample(expand(codes, kind), rate, target).tobytes(), "pcm", target))
+                    feature.append(features(decode(sound[-1])[0]))
+                    other.append(features(expand(codes, law)))
                 ends = np.cumsum([len(x) // 64 for x in back])
                 decoded = decode_adpcm(np.frombuffer(b"".join(back), np.uint8).reshape(-1, 64))
                 rows = np.split(decoded, ends[:-1])
                 yield pa.record_batch(
                     [batch.column(c).slice(i, j - i) for c in range(len(keep))]
-                    + [pa.array(sizes, pa.int64()), pa.array(back, pa.binary()), pa.array(media, pa.binary()), pa.array(sound, pa.binary()), pa.array(feature), pa.array([features(x.reshape(-1)) for x in rows], pa.string())],
-                    names=[*keep, "n_bytes", "payload", "media", "pcm", "feature", "blocks"],
+                    + [pa.array(sizes, pa.int64()), pa.array(back, pa.binary()), pa.array(media, pa.binary()), pa.array(sound, pa.binary()), pa.array(feature), pa.array(other), pa.array([features(x.reshape(-1)) for x in rows], pa.string())],
+                    names=[*keep, *made],
                 )
                 i = j
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return df.select(*keep, column).mapInArrow(run, f"{schema}, n_bytes long, payload binary, media binary, pcm binary, feature string, blocks string")
+    return df.select(*keep, column).mapInArrow(run, f"{schema}, n_bytes long, payload binary, media binary, pcm binary, feature string, other string, blocks string")
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text as a mu-law file, and digests of what is read back."""
-    made = telephony(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"], pcm=False)
+    """Every document's text as a mu-law file and as resampled PCM, and digests of what is read back."""
+    made = telephony(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"])
 
     def run(batches):
         for b in batches:
-            back, media = b.column("payload").to_pylist(), b.column("media").to_pylist()
-            sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
+            back, media, pcm = (b.column(c).to_pylist() for c in ("payload", "media", "pcm"))
+            sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
+            long = lambda xs: pa.array(list(xs), pa.int64())
+            feature = [";".join(x) for x in zip(*(b.column(c).to_pylist() for c in ("feature", "other", "blocks")))]
             yield pa.record_batch(
-                [b.column("doc_id"), b.column("n_bytes"), pa.array([len(x) for x in back], pa.int64()), sha(back), pa.array([zlib.crc32(x[-64:]) for x in back], pa.int64()), pa.array([len(x) for x in media], pa.int64()), sha(media), pa.array([f"{x};{y}" for x, y in zip(b.column("feature").to_pylist(), b.column("blocks").to_pylist())])],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [b.column("doc_id"), b.column("n_bytes"), long(map(len, back)), sha(back), long(zlib.crc32(x[-64:]) for x in back), long(map(len, media)), sha(media), pa.array(feature, pa.string()), long(map(len, pcm)), sha(pcm)],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"],
             )
 
-    return made.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return made.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string")

@@ -142,7 +142,7 @@ def adapted(data: np.ndarray, segment: np.ndarray, log_p: np.ndarray, deep: int
     wide = np.zeros(n, U)
     for j in range(4):
         wide[: n - 3] = wide[: n - 3] << U(8) | data[j : n - 3 + j].astype(U)
-    h = segment[deep:].astype(U)
+    h = K.mix(segment[deep:].astype(U) + U(1))
     for j in range(0, deep, 4):
         h = (h ^ wide[j : j + n - deep]) * U(0x9E3779B97F4A7C15)
         h ^= h >> U(29)

@@ -10,7 +10,8 @@ calibrated bits of the best segment, of all significant ones together and their
 density turns that into a probability.
 
 The classifier is fitted on at most ``per_class`` labelled rows of each class,
-those of least hash, and keeps at most ``terms`` terms.  Scoring reads all rows.
+those of least hash; it keeps every term of theirs that says anything (a weight
+other than 0).  Scoring reads all rows.
 """
 
 from __future__ import annotations
@@ -104,21 +105,22 @@ class Model:
             out = np.where(np.abs(odds) > np.abs(out), odds, out)
         return out + self.other
 
-    def passages(self, score: np.ndarray) -> list[tuple[float, int, int]]:
-        """Significant segments: calibrated nats above chance, first and last term."""
-        chance = np.log(max(self.spread * len(score), 1e-9))
-        return [(v, s, e) for x, s, e in segments(score) if (v := self.decay * x - chance) >= self.least]
+    def nats(self, found: list[tuple[float, int, int]], length: int) -> np.ndarray:
+        """Calibrated nats above chance of segments of a text of ``length`` terms."""
+        return self.decay * np.array([x for x, _, _ in found]) - np.log(max(self.spread * length, 1e-9))
 
-    def features(self, score: np.ndarray) -> list[float]:
+    def passages(self, found: list[tuple[float, int, int]], length: int) -> list[tuple[float, int, int]]:
+        """Significant segments: nats, first and last term."""
+        return [(float(v), s, e) for v, (_, s, e) in zip(self.nats(found, length), found) if v >= self.least]
+
+    def features(self, found: list[tuple[float, int, int]], length: int) -> list[float]:
         """Calibrated best segment, log of significant ones' sum, their number, and the share of terms in them."""
-        found = segments(score) if len(score) else []
         if not found:
             return [0.0] * FEATURES
-        chance = np.log(max(self.spread * len(score), 1e-9))
-        nats = np.array([self.decay * x - chance for x, _, _ in found])
+        nats = self.nats(found, length)
         high = nats >= self.least
         inside = sum(e - s for (_, s, e), k in zip(found, high) if k)
-        return [float(np.clip(nats.max(), -10, 60)) / 10, float(np.log1p(nats[high].sum())), float(np.log1p(high.sum())), float(inside / len(score))]
+        return [float(np.clip(nats.max(), -10, 60)) / 10, float(np.log1p(nats[high].sum())), float(np.log1p(high.sum())), float(inside / length)]
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         z = self.curve[0] + features @ self.curve[1:]
@@ -144,8 +146,10 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float, floor: float =
 def build(value: np.ndarray, toxic: np.ndarray, clean: np.ndarray, prior: float, drift: float = 0.7) -> Model:
     """A model of term counts; ordinary terms lose ``drift``, so that segments end."""
     seen = np.flatnonzero(toxic + clean > 0)
-    by = seen[np.argsort(value[seen])]
-    return Model(value[by], np.clip(log_odds(toxic[by], clean[by], prior), -4, 8), -drift)
+    weight = np.clip(log_odds(toxic[seen], clean[seen], prior), -4, 8)
+    some = np.flatnonzero(weight)  # a weight of 0 is what an unknown term has
+    by = some[np.argsort(value[seen[some]])]
+    return Model(value[seen[by]], weight[by], -drift)
 
 
 def calibrate(best: np.ndarray, length: np.ndarray) -> tuple[float, float]:
@@ -174,7 +178,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 4000, n_terms: int = 200_000, prior: float = 200.0, use=None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 4000, prior: float = 200.0, use=None) -> Model:
     """A model from labelled rows for which ``use`` (a condition on the key) holds.
 
     Two halves of the rows score each other for the calibration; the final
@@ -208,8 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     per = [F.coalesce(F.sum(F.when(F.col("grp") == g, F.col("n"))), F.lit(0)).cast("double").alias(f"g{g}") for g in range(4)]
     table = sample.mapInArrow(count, "term long, grp int, n long").groupBy("term").agg(*per)
-    a, b = F.col("g1") + F.col("g3"), F.col("g0") + F.col("g2")
-    table = table.filter(a + b > 1).orderBy((F.abs(F.log((a + 0.5) / (b + 0.5))) * F.sqrt(a + b)).desc(), "term").limit(n_terms).toArrow()
+    table = table.toArrow()  # terms of at most 2 * per_class rows
     value = table.column("term").to_numpy().view(U)
     g0, g1, g2, g3 = (table.column(f"g{i}").to_numpy() for i in range(4))
     crossed = [build(value, g3, g2, prior), build(value, g1, g0, prior)]  # each fold is scored by the other's counts
@@ -239,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             fold = batch.column(0).to_numpy()
             for rows_, n_, h, row in terms(lowered(batch.column(2))):
                 cut = np.searchsorted(row, np.arange(n_ + 1))
-                x = [(m := sent2.value[fold[rows_.start + i]]).features(m.scores(h[cut[i] : cut[i + 1]])) for i in range(n_)]
+                x = [(m := sent2.value[fold[rows_.start + i]]).features(segments(m.scores(h[cut[i] : cut[i + 1]])), cut[i + 1] - cut[i]) for i in range(n_)]
                 yield pa.record_batch([batch.column(1).slice(rows_.start, n_), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
     got = sample.mapInArrow(measure, "y int, x array<double>").toArrow()
@@ -255,8 +258,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", passages: str | None = None) -> DataFrame:
     """All rows and columns and a probability; with ``passages`` also (nats, first term, last term) of significant segments.
 
-    Null, empty and blank texts get what the curve gives for no segment.
-    Columns with the names of the new ones are replaced.
+    Null, empty and blank texts get what the curve gives for no segment.  Every
+    row gives one, repeats and null keys too; texts are read whole; an empty
+    table gives none.  Columns with the names of the new ones are replaced.
     """
     docs = docs.drop(name, *([passages] if passages else []))
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -270,12 +274,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             for _, n, h, row in terms(lowered(batch.column(at))):
                 every, cut = m.scores(h), np.searchsorted(row, np.arange(n + 1))
                 some = np.bincount(row[every > 0], minlength=n) > 0
-                x = np.zeros((n, FEATURES))
+                x, parts = np.zeros((n, FEATURES)), [[] for _ in range(n)]
                 for i in np.flatnonzero(some).tolist():
-                    x[i] = m.features(every[cut[i] : cut[i + 1]])
+                    size, every_one = int(cut[i + 1] - cut[i]), segments(every[cut[i] : cut[i + 1]])
+                    x[i] = m.features(every_one, size)
+                    if passages:
+                        parts[i] = [{"nats": v, "first": int(s), "last": int(e) - 1} for v, s, e in m.passages(every_one, size)]
                 p.append(m.probability(x))
-                if passages:
-                    found += [[{"nats": float(v), "first": int(s), "last": int(e) - 1} for v, s, e in m.passages(every[cut[i] : cut[i + 1]])] if some[i] else [] for i in range(n)]
+                found += parts
             columns = [*batch.columns, pa.array(np.concatenate(p) if p else np.zeros(0))]
             if passages:
                 columns.append(pa.array(found, pa.list_(pa.struct([("nats", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))))

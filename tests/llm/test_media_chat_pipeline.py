@@ -47,6 +47,9 @@ def test_files_round_trip():
         audio.parse(b"RIFF....none")
     up = audio.resample(np.array([0, 10, 20], np.int16), 8000, 16000)
     assert up.tolist() == [0, 5, 10, 15, 20, 20] and len(audio.resample(up, 16000, 11025)) == 5
+    assert audio.resample(np.array([1, 2, 5, 8], np.int16), 8000, 16000).tolist() == [1, 2, 2, 4, 5, 6, 8, 8]  # halves go to even
+    tone = (10000 * np.sin(np.arange(4000) * np.pi * 0.8)).astype(np.int16)
+    assert np.abs(audio.resample(tone, 16000, 8000)).max() < 7000 and len(audio.resample(tone, 16000, 8000)) == 2000
 
 
 def test_telephony_keeps_every_byte(spark):
@@ -57,7 +60,11 @@ def test_telephony_keeps_every_byte(spark):
         want = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert bytes(r.payload) == want and bytes(audio.parse(bytes(r.media))[3]) == want
         pcm, rate = audio.decode(bytes(r.pcm))
-        assert rate == 16000 and len(pcm) == 2 * len(want)
+        assert rate == 16000 and len(pcm) == 2 * len(want) and pcm[::2].tolist() == audio.TABLES["mulaw"][np.frombuffer(want, np.uint8)].tolist()
+        assert r.feature == audio.features(pcm) and r.other == audio.features(audio.expand(np.frombuffer(want, np.uint8), "alaw"))
+    with pytest.raises(ValueError):
+        audio.telephony(df.withColumn("media", df.text), "text", ["doc_id", "media"])
+    assert bytes(audio.parse(bytes(audio.telephony(df, "text", ["doc_id"], "alaw").first().media))[3]) == bytes(64)
     assert audio.telephony(df.limit(0), "text", ["doc_id"]).count() == 0
 
 

@@ -129,6 +129,17 @@ def test_leaks_agree_with_brute_force(spark):
     assert decontaminate.clean(odd(spark), right.limit(0)).count() == 7
 
 
+def near(a, b):
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i + (len(a) == len(b)) :] if len(a) >= len(b) else a[i:] == b[i + 1 :]
+
+
 @pytest.mark.parametrize("bits", [None, 0])
 def test_lines_agree_with_brute_force(spark, monkeypatch, bits):
     if bits == 0:  # as if there were more lines than a bitmap tells apart
@@ -140,16 +151,6 @@ def test_lines_agree_with_brute_force(spark, monkeypatch, bits):
         pool += [p[:i] + p[i + 1 :], p[:i] + "é" + p[i + 1 :], p[:i] + "🙂" + p[i:], p[::-1]]
     texts = ["\n".join(RNG.choice(pool, 6)) for _ in range(40)] + ["", None, "\n\n", pool[0]]
 
-    def near(a, b):
-        if a == b:
-            return True
-        if abs(len(a) - len(b)) > 1:
-            return False
-        i = 0
-        while i < min(len(a), len(b)) and a[i] == b[i]:
-            i += 1
-        return a[i + 1 :] == b[i + (len(a) == len(b)) :] if len(a) >= len(b) else a[i:] == b[i + 1 :]
-
     seen, want = [], {}
     for d, t in enumerate(texts):
         kept = []
@@ -212,8 +213,8 @@ def test_shards_are_minimax(spark, width):
         assert sharding.shard(df.limit(0), 7, key, size, "doc_id").count() == 0
 
 
-def naive_ppm(bodies, learned):
-    """log10 of the probability of each text, symbol by symbol from dictionaries."""
+def naive_ppm(bodies, learned, only=None):
+    """log10 of the probability of each text (or of those numbered in ``only``), symbol by symbol from dictionaries."""
     order, deep, counts = ppm.ORDER, ppm.DEEP, [{} for _ in range(ppm.ORDER + 1)]
     pad = b"\n" * order
     for body, l in zip(bodies, learned):
@@ -236,7 +237,7 @@ def naive_ppm(bodies, learned):
         return p / (256 - len(out))
 
     result = []
-    for body in bodies:
+    for body in bodies if only is None else [bodies[i] for i in only]:
         total, after, states = 0.0, {}, {}
         for i, s in enumerate(body):
             context = (pad + body)[i : i + order]
