@@ -64,10 +64,13 @@ def row_similarity(rows: DataFrame) -> DataFrame:
 def pairs(vectors: DataFrame, by: str | None = None) -> DataFrame:
     """(a, b, cos) of all pairs a < b, or of those with equal ``by``."""
     extra = [by] if by else []
+    # Unit vectors once for each row, not for each pair; a zero vector stays and gives 0.
+    unit = V.let(F.col("vector"), lambda u: V.let(F.nullif(V.norm(u), F.lit(0.0)), lambda n: F.transform(u, lambda x: F.coalesce(x / n, F.lit(0.0)))))
+    vectors = vectors.select("image_id", unit.alias("vector"), *extra)
     left = vectors.select(F.col("image_id").alias("a"), F.col("vector").alias("x"), *extra)
     right = vectors.select(F.col("image_id").alias("b"), F.col("vector").alias("y"), *extra)
     both = left.join(right, (F.col("a") < F.col("b")) & (left[by] == right[by])).drop(right[by]) if by else left.join(right, F.col("a") < F.col("b"))
-    return both.select("a", "b", *extra, V.cosine(F.col("x"), F.col("y")).alias("cos"))
+    return both.select("a", "b", *extra, V.dot(F.col("x"), F.col("y")).alias("cos"))
 
 
 def posterior(descriptors: DataFrame, gmm: DataFrame) -> DataFrame:

@@ -501,6 +501,17 @@ def sift_descriptors(spark, d):
     return sift.extract(S.tile_images(spark, d), contrast=0.005)
 
 
+@query("root_sift")
+def root_sift_descriptors(spark, d):
+    return sift.extract(S.tile_images(spark, d), contrast=0.005, root=True)
+
+
+@query("resize_640")
+def resize_640(spark, d):
+    """Digests of all tiles at the working size of 640 by 640."""
+    return pixels.resize_images(S.tile_images(spark, d)).select("image_id", "height", "width", F.sha2("data", 256).alias("sha256"))
+
+
 @query("pair_records")
 def pair_records(spark, d):
     tiles = S.large_tiles(spark, d)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 SPLITS = ("train", "validation", "test")
 RETURN_TYPES = {
     "image": ["image_id", "path"],
-    "mask": ["image_id", "mask_path"],
-    "label": ["image_id", "label"],
-    "path": ["image_id", "path", "label"],
+    "image+mask": ["image_id", "path", "mask_path"],
+    "image+label": ["image_id", "path", "label"],
+    "image+mask+label": ["image_id", "path", "mask_path", "label"],
     "all": ["image_id", "split", "label", "path", "mask_path"],
 }
 #: Class index, name and colour.
@@ -81,11 +81,17 @@ def missing_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
     return images.withColumn("_mask", mask_name(F.col("file"))).join(masks.select("label", F.col("file").alias("_mask")), ["label", "_mask"], "left_anti").drop("_mask")
 
 
-def numbered(images: DataFrame, order: str = "path") -> DataFrame:
-    """``image_id`` by the order of paths, from range partitions: no single task sorts all rows."""
-    ranged = images.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").count()
-    before = counts.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_before"))  # a row for each partition
+def numbered(images: DataFrame, order: str = "path", parts: int = 256) -> DataFrame:
+    """All columns and ``image_id``, gapless by the order of paths; no single task sorts all rows.
+
+    The bounds of the parts are fixed first, at the ``parts - 1`` paths of least
+    hash, so a row's part does not depend on how Spark deals out rows.  Equal
+    paths get numbers next to each other, null ones come first.
+    """
+    bounds = sorted({r[0] for r in images.filter(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(parts - 1).collect()})
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    ranged = images.withColumn("_part", part)
+    before = ranged.groupBy("_part").count().select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_before"))  # a row for each part
     row = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
     return ranged.withColumn("_row", row).join(F.broadcast(before), "_part").withColumn("image_id", (F.col("_before") + F.col("_row")).cast("long")).drop("_part", "_row", "_before")
 
@@ -105,12 +111,13 @@ def project(images: DataFrame, return_type: str) -> DataFrame:
 
 
 def item(images: DataFrame, index: int) -> DataFrame:
-    """The row with this number; ValueError for a slice, IndexError below 0. An index past the end has no row."""
+    """The row with this number; ValueError for a slice, IndexError below 0 and past the end."""
     if isinstance(index, slice):
         raise ValueError("slices are not supported")
-    if index < 0:
-        raise IndexError("an index is at least 0")
-    return images.filter(F.col("image_id") == index)
+    found = images.filter(F.col("image_id") == index)
+    if index < 0 or found.isEmpty():
+        raise IndexError(f"no image has the number {index}")
+    return found
 
 
 def enum_lookup(rows: DataFrame, label: str, members: DataFrame) -> DataFrame:

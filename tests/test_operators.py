@@ -1,5 +1,6 @@
 """Numeric kernels against small formulas, properties and error paths."""
 
+import json
 import logging
 
 import numpy as np
@@ -144,8 +145,46 @@ def test_image_tree(spark, tmp_path):
         I.project(rows, "pixels")
     with pytest.raises(ValueError):
         I.item(rows, slice(0, 1))
-    with pytest.raises(IndexError):
-        I.item(rows, -1)
+    for index in (-1, 4):
+        with pytest.raises(IndexError):
+            I.item(spark.createDataFrame([(3,)], "image_id long"), index)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_are_gapless(spark, adaptive):
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(50_000).select(F.concat(F.lit("p"), F.xxhash64(F.col("id") % 40_000)).alias("path"), F.repeat(F.lit("w"), 200).alias("wide"), "id").union(spark.sql("SELECT CAST(NULL AS STRING), 'x', -1L"))
+        got = I.numbered(rows).select("image_id", "path", "id").toPandas().sort_values("image_id")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert got.image_id.tolist() == list(range(50_001)) and got.id.nunique() == 50_001 and got.path.iloc[0] is None
+    assert got.path.iloc[1:].tolist() == sorted(got.path.iloc[1:])
+    assert I.numbered(rows.limit(0)).count() == 0
+
+
+def test_whole_images_are_resized(spark):
+    image = np.arange(5 * 7 * 3, dtype=np.uint8).reshape(5, 7, 3)
+    made = pixels.resize_images(spark.createDataFrame([(1, 5, 7, 3, bytearray(image.tobytes()))], "image_id long, height int, width int, nChannels int, data binary"), 4).first()
+    got = np.frombuffer(made.data, np.uint8).reshape(4, 4, 3)
+    one = spark.createDataFrame([(1, y, x, float(image[y, x, 2])) for y in range(5) for x in range(7)], "image_id long, y int, x int, v double")
+    want = {(r.y, r.x): r.v for r in pixels.resize(one, 5, 7, 4, 4).collect()}
+    assert (made.height, made.width) == (4, 4) and all(abs(got[y, x, 2] - v) <= 0.5 + 1e-9 for (y, x), v in want.items())
+
+
+def test_scores_count_all_classes(spark):
+    rng = np.random.default_rng(3)
+    image, mask = rng.integers(0, 256, (6, 6, 3)).astype(np.uint8), rng.integers(0, 12, 36)
+    rows = spark.createDataFrame([(0, 6, 6, 3, bytearray(image.tobytes()))], "image_id long, height int, width int, nChannels int, data binary")
+    truth = spark.createDataFrame([(0, mask.tolist(), 4)], "image_id long, mask array<int>, cls int")
+    network = sweep.stub_predictor()
+    got = sweep.predict(rows, truth, {"n": network}, sigmas=None).first()
+    p = network(image).reshape(36, 12)
+    guess = p.argmax(1)
+    both, each = [np.sum((guess == c) & (mask == c)) for c in range(12)], [np.sum(guess == c) + np.sum(mask == c) for c in range(12)]
+    assert got.n_dice_score == pytest.approx(np.mean([2 * i / (u + 1e-8) for i, u in zip(both, each)]))
+    assert got.n_iou == pytest.approx((sum(both) + 1e-6) / (sum(each) - sum(both) + 1e-6)) and got.n_proba == pytest.approx(p[mask == 4, 4].mean() if (mask == 4).any() else 0)
 
 
 def test_models_and_results_round_trip(spark, tmp_path):
@@ -154,6 +193,9 @@ def test_models_and_results_round_trip(spark, tmp_path):
     assert sinks.load_model(spark, f"{tmp_path}/m", "sift").collect() == book.collect()
     with pytest.raises(ValueError):
         sinks.load_model(spark, f"{tmp_path}/m", "root_sift")
+    for n in (0, 1, 3):
+        sinks.write_json_array(spark.range(n).withColumn("x", F.lit(None).cast("int")), f"{tmp_path}/a{n}")
+        assert json.loads("\n".join(r.value for r in spark.read.text(f"{tmp_path}/a{n}").collect())) == [{"id": i, "x": None} for i in range(n)]
     sinks.write_json(book, f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j").count() == 1
 
