@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Images of which a Gram matrix may be made on the driver.
+#: Images, or positions where images outnumber them, of which a square matrix may be made on the driver.
 MOST_ROWS = 4096
 
 
@@ -32,7 +32,7 @@ def gmm(descriptors: DataFrame, k: int, seed: int = 42, iterations: int = 20, fl
     """
     spark = descriptors.sparkSession
     centres = np.array([r.c for r in kmeans(descriptors, k, seed, max_iter=5).orderBy("k").collect()])
-    data = descriptors.select("v")
+    data = descriptors.select("v").persist()  # read once for each step
     n, dim = data.count(), centres.shape[1]
     mean = data.agg(*[F.var_pop(F.col("v")[i]) for i in range(dim)]).first()
     w, mu, var = np.full(k, 1 / k), centres, np.tile(np.maximum(np.array(mean, float), floor), (k, 1))
@@ -63,6 +63,7 @@ def gmm(descriptors: DataFrame, k: int, seed: int = 42, iterations: int = 20, fl
         if abs(s[-1] / n - last) < tolerance:
             break
         last = s[-1] / n
+    data.unpersist()
     rows = [(i, float(w[i]), mu[i].tolist(), var[i].tolist()) for i in range(k)]
     return spark.createDataFrame(rows, "k int, w double, mu array<double>, var array<double>")
 
@@ -75,17 +76,19 @@ def standardized(vectors: DataFrame) -> DataFrame:
 
 
 def pca(vectors: DataFrame, components: int) -> DataFrame:
-    """(image_id, scores) of standardised vectors; the n by n Gram matrix stands for the far larger covariance.
+    """(image_id, scores) of standardised vectors, by the smaller of the Gram matrix of images and the covariance of positions.
 
-    ValueError for more components than images or positions, or above
-    ``MOST_ROWS`` images, which the driver could not hold.
+    ValueError for more components than images or positions, or where both
+    are above ``MOST_ROWS``, as the driver could hold neither matrix.
     """
     n = vectors.count()
     width = vectors.select(F.size("vector")).first()
-    if n > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} images")
     if width is None or not 1 <= components <= min(n, width[0]):
         raise ValueError("components must be between 1 and the lesser of images and positions")
+    if min(n, width[0]) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} images and positions")
+    if n > width[0]:
+        return _by_covariance(vectors, width[0], components)
     z = standardized(vectors).filter("z is not null")
     a, b = z.select("pos", F.col("image_id").alias("i"), F.col("z").alias("x")), z.select("pos", F.col("image_id").alias("j"), F.col("z").alias("y"))
     gram = a.join(b, "pos").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g")).toPandas()
@@ -100,6 +103,43 @@ def pca(vectors: DataFrame, components: int) -> DataFrame:
     return vectors.sparkSession.createDataFrame([(int(d), r.tolist()) for d, r in zip(ids, u)], "image_id long, scores array<double>")
 
 
+def _by_covariance(vectors: DataFrame, width: int, components: int) -> DataFrame:
+    """Scores through the covariance: tasks add up z'z of their images, so nothing that grows with them reaches the driver."""
+    spark = vectors.sparkSession
+    one = vectors.select("image_id", F.col("vector").cast("array<double>").alias("vector"))
+    stats = one.select(F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("pos").toPandas()
+    mean, spread = stats["m"].to_numpy(), stats["s"].to_numpy()
+    scale = spark.sparkContext.broadcast((mean, np.where(spread > 0, 1 / np.where(spread > 0, spread, 1), 0)))
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return (batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width) - scale.value[0]) * scale.value[1]
+
+    def sums(batches):
+        total = np.zeros((width, width))
+        for b in batches:
+            z = matrix(b)
+            total += z.T @ z
+        yield pa.record_batch([pa.array(np.arange(width)), pa.array(list(total))], names=["i", "row"])
+
+    def add(table: pa.Table) -> pa.Table:
+        row = sum(c.flatten().to_numpy().reshape(len(c), width).sum(0) for c in table["row"].chunks)
+        return pa.table({"i": table["i"].slice(0, 1), "row": pa.array([row])})
+
+    made = one.mapInArrow(sums, "i long, row array<double>").groupBy("i").applyInArrow(add, "i long, row array<double>")
+    value, vector = np.linalg.eigh(np.array([r.row for r in made.orderBy("i").collect()]))
+    top = vector[:, np.argsort(-value)[:components]]
+
+    def scores(axes: np.ndarray) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                yield pa.record_batch([b.column("image_id"), pa.array(list(matrix(b) @ axes), pa.list_(pa.float64()))], names=["image_id", "scores"])
+
+        return one.mapInArrow(run, "image_id long, scores array<double>")
+
+    signs = scores(top).agg(*[F.max_by(F.col("scores")[c], F.abs(F.col("scores")[c])) for c in range(components)]).first()
+    return scores(top * np.where(np.array(signs) < 0, -1, 1))
+
+
 def training_matrix(features: dict[str, DataFrame], sizes: tuple[int, ...] = (32, 64, 128, 256), seed: int = 42):
     """Yield (feature, kind, k, model) for each feature table, both learners and all sizes; features are read once."""
     for name, table in features.items():

@@ -77,13 +77,6 @@ def cosine_all_pairs_topk(spark, d):
     return encode.pairs(v).select("a", "b", r6("cos").alias("cos")).orderBy(F.desc("cos"), "a", "b").limit(20)
 
 
-@query("similarity_heatmap", f"WITH {LONG}, n AS (SELECT desc_id AS image_id, pos, x AS v, sqrt(sum(x * x) OVER (PARTITION BY desc_id)) AS n FROM l WHERE desc_id < 10) SELECT x.image_id AS i, y.image_id AS j, round(sum(x.v * y.v) / (max(x.n) * max(y.n)), 6) + 0.0 AS cos FROM n x JOIN n y USING (pos) GROUP BY ALL")
-def similarity_heatmap(spark, d):
-    v = S.descriptors(spark, d).filter("image_id = 0").select("desc_id", "v")
-    a, b = v.toDF("i", "x"), v.toDF("j", "y")
-    return a.crossJoin(F.broadcast(b)).select("i", "j", r6(V.cosine(F.col("x"), F.col("y"))).alias("cos"))
-
-
 @query("rootsift", f"WITH {LONG} SELECT desc_id, pos, round(sqrt(abs(x) / (sum(abs(x)) OVER (PARTITION BY desc_id) + 1e-7)), 6) + 0.0 AS v FROM l")
 def rootsift(spark, d):
     one = S.descriptors(spark, d).select("desc_id", F.transform("v", F.abs).alias("a"))
@@ -454,7 +447,7 @@ def first_images(spark, d):
     return S.descriptors(spark, d).filter("image_id < 10").select(F.col("desc_id").alias("vec_id"))
 
 
-# Beyond SQL: tests hold these against numpy
+# Beyond SQL: tests hold the operators against numpy or properties
 
 
 @query("jpeg_variants")
@@ -528,8 +521,8 @@ def per_image_records(spark, d):
     return sweep.per_image_records(tiles, truth, own, S.codebook(spark, d), S.mixture(spark, d), D, predictors)
 
 
-@query("similarity_heatmaps", f"WITH {LONG}, n AS (SELECT image_id, desc_id, pos, x AS v, sqrt(sum(x * x) OVER (PARTITION BY desc_id)) AS n FROM l) SELECT x.image_id AS image_id, x.desc_id AS i, y.desc_id AS j, round(sum(x.v * y.v) / (max(x.n) * max(y.n)), 6) + 0.0 AS cos FROM n x JOIN n y ON x.image_id = y.image_id AND x.pos = y.pos GROUP BY ALL")
-def similarity_heatmaps(spark, d):
-    """The matrix of every image; ``similarity_heatmap`` has that of the first."""
+@query("similarity_heatmap", f"WITH {LONG}, n AS (SELECT image_id, desc_id, pos, x AS v, sqrt(sum(x * x) OVER (PARTITION BY desc_id)) AS n FROM l) SELECT x.image_id AS image_id, x.desc_id AS i, y.desc_id AS j, round(sum(x.v * y.v) / (max(x.n) * max(y.n)), 6) + 0.0 AS cos FROM n x JOIN n y ON x.image_id = y.image_id AND x.pos = y.pos GROUP BY ALL")
+def similarity_heatmap(spark, d):
+    """The matrix of every image with itself."""
     v = S.descriptors(spark, d).select("image_id", "desc_id", "v")
     return v.toDF("image_id", "i", "x").join(v.toDF("image_id", "j", "y"), "image_id").select("image_id", "i", "j", r6(V.cosine(F.col("x"), F.col("y"))).alias("cos"))

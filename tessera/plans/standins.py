@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +49,14 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles in array form: image_id, height, width, nChannels, data, path, label."""
-    rows = tiles(spark, sf_dir).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"), F.count("*").alias("n")).filter(F.col("n") == SIDE * SIDE)
-    data = F.unhex(F.array_join(F.transform("p", lambda q: F.lpad(F.hex(q.v.cast("long")), 2, "0")), ""))
-    return rows.select("image_id", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"), F.concat(F.lit("tile/"), "image_id").alias("path"), F.lit("tile").alias("label"))
+    """Tiles in array form: image_id, height, width, nChannels, data, path, label; a last incomplete tile is filled up with black."""
+    def full(table: pa.Table) -> pa.Table:
+        data = np.zeros(SIDE * SIDE, np.uint8)
+        data[table["y"].to_numpy() * SIDE + table["x"].to_numpy()] = table["v"].to_numpy()
+        return pa.table({"image_id": table["image_id"].slice(0, 1), "data": pa.array([data.tobytes()], pa.binary())})
+
+    rows = tiles(spark, sf_dir).groupBy("image_id").applyInArrow(full, "image_id long, data binary")
+    return rows.select("image_id", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(1).alias("nChannels"), "data", F.concat(F.lit("tile/"), "image_id").alias("path"), F.lit("tile").alias("label"))
 
 
 def large_tiles(spark: SparkSession, sf_dir: str, times: int = 5) -> DataFrame:

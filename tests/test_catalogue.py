@@ -39,7 +39,7 @@ def test_has_rows(spark, name):
 
 
 def test_pair_records_has_all_pairs_and_settings(spark):
-    n = spark.read.parquet(f"{SF}/embeddings.parquet").count() // 25
+    n = -(-spark.read.parquet(f"{SF}/embeddings.parquet").count() // 25)
     out = catalogue.QUERIES["pair_records"](spark, SF).select("image_i_path", "image_j_path", "sigma", "quality", "ssim_score", "ms_ssim_score").toPandas()
     assert len(out) == n * (n - 1) // 2 * 90 and not out.duplicated(["image_i_path", "image_j_path", "sigma", "quality"]).any()
     assert out.ms_ssim_score.notna().all() and out.ssim_score.between(-1, 1).all()
@@ -51,12 +51,12 @@ def test_per_image_records_joins_vectors_and_scores_of_all_images(spark):
     scores = [f"{n}_{m}" for n in ("u_net", "deeplabv3") for m in ("confidence", "iou", "dice_score")]
     assert out.columns == ["path", "label", "type", "vlad_vector", "fisher_vector", *scores]
     rows_, k = out.collect(), e.select("label").distinct().count()
-    assert {r.path for r in rows_} == {f"tile/{i}" for i in range(e.count() // 25)} and len(rows_) == e.count() // 25
+    assert {r.path for r in rows_} == {f"tile/{i}" for i in range(-(-e.count() // 25))} and len(rows_) == -(-e.count() // 25)
     assert all(len(r.vlad_vector) == 8 * 64 and len(r.fisher_vector) == 2 * k * 64 + k for r in rows_)
     assert all(0 <= r[s] <= 1 for r in rows_ for s in scores)
 
 
-def test_similarity_heatmaps_have_every_image(spark):
+def test_similarity_heatmap_has_every_image(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
-    out = catalogue.QUERIES["similarity_heatmaps"](spark, SF)
+    out = catalogue.QUERIES["similarity_heatmap"](spark, SF)
     assert out.count() == n * 10 and out.select("image_id").distinct().count() == n // 10

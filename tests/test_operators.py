@@ -120,6 +120,31 @@ def test_pca_and_standardize(spark):
             learn.pca(v, bad)
 
 
+def test_pca_of_more_images_than_positions(spark):
+    m = RNG.normal(size=(40, 7)) * np.arange(1, 8)
+    m[:, 2] = 5
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "image_id long, vector array<double>").repartition(3)
+    got = np.array([r.scores for r in learn.pca(v, 3).orderBy("image_id").collect()])
+    z = np.delete(m, 2, 1)
+    u, s, _ = np.linalg.svd((z - z.mean(0)) / z.std(0), full_matrices=False)
+    assert np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=1e-6)
+    assert all(c[np.abs(c).argmax()] > 0 for c in got.T)
+
+
+def test_pairs_by_blocks_are_all_pairs(spark):
+    m = RNG.normal(size=(30, 4))
+    m[5] = 0
+    v = spark.createDataFrame([(i, i % 3, r.tolist()) for i, r in enumerate(m)] + [(None, 0, [1.0] * 4), (99, None, None)], "image_id long, label int, vector array<double>")
+    unit = m / np.where(np.linalg.norm(m, axis=1) > 0, np.linalg.norm(m, axis=1), 1)[:, None]
+    for by, block_bytes in ((None, 1), (None, 7 * 32), ("label", 4 * 32), ("label", 1 << 20)):
+        got = encode.pairs(v, by, block_bytes).collect()
+        want = {(a, b) for a in range(30) for b in range(a + 1, 30) if by is None or a % 3 == b % 3}
+        assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+        assert all(r.cos == pytest.approx(unit[r.a] @ unit[r.b], abs=1e-12) for r in got)
+        assert by is None or all(r.label == r.a % 3 for r in got)
+    assert encode.pairs(v.limit(0)).count() == 0
+
+
 def test_image_tree(spark, tmp_path):
     for label in ("car", "truck"):
         for folder, ext in (("train", "jpg"), ("train_annotations", "png")):
