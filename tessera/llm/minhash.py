@@ -15,6 +15,10 @@
    classes is lost, and a group of ``n`` near copies costs ``n`` comparisons.  Clusters
    above ``local`` shingles are compared part by part, each pair of parts in a group
    of its own.
+5. Where the largest class of such a cluster leaves over so much that the cluster
+   would travel more often than its sets have buckets, what is left over is compared
+   inside its buckets instead, as each link shares one: a chain of unlike sets
+   then costs the sum of its buckets, not the product of its size.
 """
 
 from __future__ import annotations
@@ -186,12 +190,8 @@ def _unsigned(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).view(U), np.diff(column.offsets.to_numpy())
 
 
-def link(members: DataFrame, texts: DataFrame, percent: int, local: int, block: int) -> DataFrame:
-    """(node, root) of the sets ``rep, cluster, score, n_shingles`` with full sets ``rep, grams``; roots are the smallest of their class."""
-    spark = members.sparkSession
-    weight = members.groupBy("cluster").agg(F.sum("n_shingles").alias("w"))
-    giant = stored(spark, weight.filter(F.col("w") > local), "giants")
-    sized = members.hint("merge").join(texts.hint("merge"), "rep")
+def _near(percent: int):
+    """(node, root) of the sets of one cluster ``rep, score, grams``; the root is the smallest of a class."""
 
     def near(table: pa.Table) -> pa.Table:
         value, size = _unsigned(table.column("grams"))
@@ -202,20 +202,65 @@ def link(members: DataFrame, texts: DataFrame, percent: int, local: int, block:
             least[c] = min(least.get(c, r), r)
         return pa.table({"node": rep, "root": pa.array([least[c] for c in root], pa.int64())})
 
+    return near
+
+
+def link(members: DataFrame, texts: DataFrame, buckets: DataFrame, percent: int, local: int, block: int) -> DataFrame:
+    """(node, root) of the sets ``rep, cluster, score, n_shingles`` with full sets ``rep, grams`` and ``rep, bucket``; roots are the smallest of their class."""
+    spark = members.sparkSession
+    weight = members.groupBy("cluster").agg(F.sum("n_shingles").alias("w"))
+    giant = stored(spark, weight.filter(F.col("w") > local), "giants")
+    sized = members.hint("merge").join(texts.hint("merge"), "rep")
     if giant.isEmpty():
-        return sized.groupBy("cluster").applyInArrow(near, "node long, root long")
+        return sized.groupBy("cluster").applyInArrow(_near(percent), "node long, root long")
     sized = stored(spark, sized, "sets")
-    small = sized.join(giant, "cluster", "left_anti").groupBy("cluster").applyInArrow(near, "node long, root long")
+    small = sized.join(giant, "cluster", "left_anti").groupBy("cluster").applyInArrow(_near(percent), "node long, root long")
     # The centre of each giant cluster against all its members, then what it leaves against all.
     large = sized.join(giant, "cluster")
     centre = members.join(giant, "cluster", "left_semi").groupBy("cluster").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("rep"))
     first = stored(spark, compare(large, large.join(centre, ["cluster", "rep"], "left_semi"), percent, block), "links")
     inside = first.filter("node <> root").select(F.col("node").alias("rep")).union(centre.select("rep"))
     left = large.join(inside, "rep", "left_anti")
-    every = first.unionByName(compare(large, left, percent, block))
+    wide = left.groupBy("cluster").agg(F.sum("n_shingles").alias("w")).filter(F.col("w") > F.lit(BANDS * block))
+    wide = stored(spark, wide.select("cluster"), "wide")
+    if wide.isEmpty():
+        every = first.unionByName(compare(large, left, percent, block))
+    else:
+        narrow = compare(large.join(wide, "cluster", "left_anti"), left.join(wide, "cluster", "left_anti"), percent, block)
+        spread = inside_buckets(large.join(wide, "cluster", "left_semi"), left.join(wide, "cluster", "left_semi"), buckets, percent, local, block)
+        every = first.unionByName(narrow).unionByName(spread)
     return small.unionByName(components(every.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
+def inside_buckets(members: DataFrame, queries: DataFrame, buckets: DataFrame, percent: int, local: int, block: int) -> DataFrame:
+    """Links (node, root) between each query and the members that share a bucket with it and are alike.
+
+    A member travels once for each of its buckets that has a query.  Buckets of
+    up to ``local`` shingles are dealt to groups of about as many, larger ones
+    are compared part by part.
+    """
+    spark = members.sparkSession
+    asked = queries.select("rep")
+    used = buckets.join(asked, "rep", "left_semi").select("bucket").distinct()
+    own = buckets.join(used, "bucket", "left_semi").select("rep", F.col("bucket").alias("cluster")).join(members.select("rep", "score", "n_shingles"), "rep")
+    own = stored(spark, own, "shared")
+    weight = stored(spark, own.groupBy("cluster").agg(F.sum("n_shingles").alias("w")), "weights")
+    total = weight.filter(F.col("w") <= local).agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    own = own.join(weight, "cluster").hint("merge").join(members.select("rep", "grams").hint("merge"), "rep")
+    near = _near(percent)
+
+    def each(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cluster").combine_chunks()
+        cluster = table.column("cluster").to_numpy()
+        ends = np.r_[np.flatnonzero(cluster[1:] != cluster[:-1]) + 1, len(cluster)]
+        return pa.concat_tables([near(table.slice(s, e - s)) for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())])
+
+    deal = F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-total // local))))
+    light = own.filter(F.col("w") <= local).withColumn("deal", deal).groupBy("deal").applyInArrow(each, "node long, root long")
+    heavy = own.filter(F.col("w") > local)
+    return light.unionByName(compare(heavy, heavy.join(asked, "rep", "left_semi"), percent, block))
+
+
 def compare(members: DataFrame, queries: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (node, root) between each query and the members of its cluster that are alike.
 
@@ -268,7 +313,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     unique = stored(spark, unique, "unique")
     hits = unique.select("rep", F.explode("bands").alias("bucket"))
     buckets = hits.groupBy("bucket").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    stars = stored(spark, hits.hint("merge").join(buckets.hint("merge"), "bucket").groupBy("rep", "least").agg(F.sum("n").alias("n")), "stars")
+    shared = hits.hint("merge").join(buckets.hint("merge"), "bucket")
+    stars = stored(spark, shared.groupBy("rep", "least").agg(F.sum("n").alias("n")), "stars")
     score = stars.groupBy("rep").agg(F.sum("n").cast("double").alias("score"))
     cluster = components(stars.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     members = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(score, "rep").join(unique.select("rep", "n_shingles"), "rep")
@@ -280,7 +326,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
         texts = full_sets(docs, "rep", "body", k, only)
     else:  # more than a bitmap of bounded size can tell apart
         texts = full_sets(docs.join(members.select("rep"), "rep", "left_semi"), "rep", "body", k)
-    links = stored(spark, link(members, texts, percent, local, block), "classes").filter("node <> root")
+    links = stored(spark, link(members, texts, shared.select("rep", "bucket"), percent, local, block), "classes").filter("node <> root")
     links = links.groupBy(F.col("node").alias("rep")).agg(F.min("root").alias("root"))
     named = unique.join(links, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"), "copies", "root")
     named = named.filter("copies > 1 or root is not null").drop("copies", "root")

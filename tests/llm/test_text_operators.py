@@ -85,11 +85,18 @@ def test_near_duplicates_agree_with_brute_force(spark, monkeypatch):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
     want = {i: (len(sets[i]), root(i)) for i in range(len(texts))}
-    for options in ({}, {"local": 100, "block": 150}, {"local": 100}):
+    def chained(members, queries, *rest):
+        spread.append(queries.count())
+        return inside(members, queries, *rest)
+
+    spread, inside = [], minhash.inside_buckets
+    monkeypatch.setattr(minhash, "inside_buckets", chained)
+    for options in ({}, {"local": 100, "block": 150}, {"local": 100, "block": 2}, {"local": 400, "block": 1}, {"local": 100}):
         if options == {"local": 100}:  # as if there were more sets than a bitmap tells apart
             monkeypatch.setattr(minhash, "bits_for", lambda n: 0)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, k=2, **options).collect()}
         assert got == want
+    assert spread and min(spread) > 0  # what giant clusters left over was compared inside its buckets too
     assert minhash.near_duplicates(empty(spark)).count() == 0
     assert minhash.near_duplicates(odd(spark)).filter(~F.col("kept")).count() == 1
 
