@@ -155,8 +155,16 @@ def deletions(line: np.ndarray, first: int, last: int) -> np.ndarray:
     return mix(run[p] + (run[n] - run[q]) * powers(_INVERSE, 8)[q - p] + (n - (q - p)).astype(U))
 
 
+def places(value: np.ndarray, probe: int) -> np.ndarray:
+    """Where the bits of a hash are looked for, before the cut to a bitmap's size; a hash has ``PROBES`` of them."""
+    return mix(value + U(probe * 0x9E3779B97F4A7C15 % (1 << 64))) if probe else value
+
+
+PROBES = 3
+
+
 class Bitmap:
-    """A set of 64-bit values in a fixed number of bits; it may hold more than was put in, never less."""
+    """A set of 64-bit hashes in a fixed number of bits; it may hold more than was put in, never less."""
 
     def __init__(self, words: np.ndarray):
         self.words, self.mask = words, U(len(words) * 64 - 1)
@@ -165,5 +173,9 @@ class Bitmap:
         return bool(self.has(np.array([value], U))[0])
 
     def has(self, value: np.ndarray) -> np.ndarray:
-        at = value & self.mask
-        return (self.words[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
+        out = np.ones(len(value), bool)
+        for probe in range(PROBES):
+            some = np.flatnonzero(out)
+            at = places(value[some], probe) & self.mask
+            out[some] = self.words[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1) != 0
+        return out

@@ -8,7 +8,8 @@ Empty lines stay.
 1. Equal lines of ``equal`` characters or more meet by a 128-bit hash.  Of each
    only the first occurrence goes on, if it has ``least`` characters.
 2. One edit leaves a half of a line as it is.  Lines that share no half with
-   another line have no copy one edit away, so they emit nothing.
+   another line have no copy one edit away, so they emit nothing (a bitmap of
+   the shared halves may let a few of them emit all the same).
 3. The others emit the hashes of all variants with one character less in the
    half that may differ, each with the place of the character, and their own
    hash.  Lines one replacement apart share a variant and the place; where one
@@ -115,6 +116,39 @@ def asking(docs: DataFrame, wanted: DataFrame, work, schema: str) -> DataFrame:
     return docs.join(marks, "key").select("key", "t", "body", "marks").mapInArrow(lambda batches: (x for b in batches for x in work(b, Listed(b))), schema)
 
 
+def met(rows: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not among ``values``, so that fewer go to a join; all of them beyond a bitmap."""
+    bits = bits_for(values.count())
+    if not bits:
+        return rows
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(values, lambda b: b.column(0).to_numpy().view(U), bits))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(sent.value.has(b.column(column).to_numpy().view(U))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def sharing(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, h1, side) of ``lines`` with a half in ``shared``; by a bitmap, with the few that it lets through by chance, or by a join."""
+    spark, sides = lines.sparkSession, ((PREFIX, ("p1", "p2")), (SUFFIX, ("s1", "s2")))
+    bits = bits_for(shared.count())
+    if not bits:
+        each = F.explode(F.array(*[F.struct(F.col(c).alias("half"), F.lit(s).alias("side")) for s, own in sides for c in own]))
+        return lines.select("key", "h1", each.alias("x")).select("key", "h1", "x.*").join(shared, "half", "left_semi").select("key", "h1", "side")
+    sent = spark.sparkContext.broadcast(bitmap(shared, lambda b: b.column(0).to_numpy().view(U), bits))
+
+    def run(batches):
+        for b in batches:
+            for side, own in sides:
+                some = np.logical_or(*(sent.value.has(b.column(c).to_numpy().view(U)) for c in own))
+                part = b.select(["key", "h1"]).filter(pa.array(some))
+                yield part.append_column("side", pa.array(np.full(part.num_rows, side, np.int32)))
+
+    return lines.mapInArrow(run, "key long, h1 long, side int")
+
+
 def _variants(least: int):
     def work(batch, asked):
         key, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -160,12 +194,13 @@ def repeated(df: DataFrame, key: str, text: str, least: int = 16, equal: int | N
     halves = [F.first(c).alias(c) for c in ("p1", "p2", "s1", "s2")]
     unique = stored(spark, lines.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("n"), *halves), "unique")
     often = unique.filter("n > 1").select("h1", "h2", F.col("key").alias("first_key"))
-    same = lines.select("key", "t", "line", "again", "h1", "h2").join(often, ["h1", "h2"]).filter("again or key > first_key")
+    same = met(lines.select("key", "t", "line", "again", "h1", "h2"), often.select("h1"), "h1").join(often, ["h1", "h2"]).filter("again or key > first_key")
     same = same.select("key", "t", "line", "first_key", F.lit(False).alias("near"))
 
-    half = unique.select("key", "h1", F.explode(F.array(*[F.struct(F.col(c).alias("half"), F.lit(s).alias("side")) for c, s in (("p1", PREFIX), ("p2", PREFIX), ("s1", SUFFIX), ("s2", SUFFIX))])).alias("x")).select("key", "h1", "x.*").filter("half is not null")
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    taking = stored(spark, half.join(shared, "half", "left_semi").select("key", "h1", "side"), "taking")
+    long = unique.filter("p1 is not null").select("key", "h1", "p1", "p2", "s1", "s2")
+    half = long.select(F.explode(F.array("p1", "p2", "s1", "s2")).alias("half"))
+    shared = stored(spark, half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half"), "shared")
+    taking = stored(spark, sharing(long, shared), "taking")
     variants = asking(docs, taking, _variants(least), "v long, place int, key long, line int, t long, h1 long").select("v", "place", F.struct("key", "line", "t", "h1").alias("ref")).repartition("v")
     own, cut = F.when(F.col("place") < 0, F.col("ref")), F.when(F.col("place") >= 0, F.col("ref"))
     with_v = W.partitionBy("v")
@@ -184,7 +219,7 @@ def repeated(df: DataFrame, key: str, text: str, least: int = 16, equal: int | N
     near = both.filter((apart >= 0) & (apart <= 1)).groupBy(*[F.col(f"ref_{c}").alias(c) for c in at]).agg(F.min("first_key").alias("first_key"))
     near = near.select("key", "t", "line", "first_key", F.lit(True).alias("near"))
     out = stored(spark, same.unionByName(near), "repeated")
-    for table in (lines, unique, taking, pairs, texts):
+    for table in (lines, unique, shared, taking, pairs, texts):
         discard(table)
     return out
 
@@ -213,7 +248,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     none = F.array().cast("array<bigint>")
     return out.select(
         *[F.when(F.col(LOST).isNull(), F.col(text)).otherwise(body).alias(text) if c == text else F.col(c) for c in columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(LOST), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(HELD, none).alias("originals"),
+        F.coalesce(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(LOST), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(HELD, none).alias("originals"),
     )
 
 

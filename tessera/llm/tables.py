@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import U, Bitmap
+from .kernels import PROBES, U, Bitmap, places
 
 
 #: Bytes of an Arrow batch, so that long texts do not add up to what a task can't hold.
@@ -65,7 +65,7 @@ def discard(df: DataFrame) -> None:
 
 
 def bits_for(n: int, most: int = 1 << 28) -> int:
-    """Bits of a bitmap in which few of ``n`` hashes meet by chance: 32 or more for each; 0 if that is above ``most`` (32 MB)."""
+    """Bits of a bitmap of ``n`` hashes, 32 or more for each, so that less than one other in 1000 is let through; 0 if that is above ``most`` (32 MB)."""
     bits = max(1 << 20, 1 << (32 * max(1, n) - 1).bit_length())
     return bits if bits <= most else 0
 
@@ -78,7 +78,8 @@ def bitmap(df: DataFrame, hashed, bits: int) -> Bitmap:
 
     def run(batches):
         for b in batches:
-            h = np.unique(hashed(b) & U(bits - 1))
+            value = hashed(b)
+            h = np.unique(np.concatenate([places(value, p) for p in range(PROBES)]) & U(bits - 1))
             if len(h):
                 word, first = np.unique(h >> U(6), return_index=True)
                 yield pa.record_batch([pa.array(word.astype(np.int64)), pa.array(np.bitwise_or.reduceat(U(1) << (h & U(63)), first).astype(np.int64))], names=["word", "bits"])
