@@ -33,7 +33,7 @@ def test_agrees_with_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["blur3", "sharpen", "resize_half"])
+@pytest.mark.parametrize("name", ["blur3", "sharpen", "resize_half", "dog"])
 def test_agrees_with_sql_where_the_last_tile_is_incomplete(spark, tmp_path, name):
     spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 31").write.parquet(f"{tmp_path}/embeddings.parquet")
     duck = duckdb.connect()
