@@ -5,8 +5,10 @@ import numbers
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.plans import catalogue
+from tessera.operators import sweep
+from tessera.plans import catalogue, standins
 
 SF = "/root/testdata/sf0.001"
 #: Long plans; the driver runs them too.
@@ -65,6 +67,15 @@ def test_per_image_records_joins_vectors_and_scores_of_all_images(spark):
     assert all(0 <= r[s] <= 1 for r in rows_ for s in scores)
 
 
+def test_masks_are_not_broadcast(spark):
+    tiles = standins.large_tiles(spark, SF)
+    truth = tiles.select("image_id", F.array_repeat(F.lit(1), F.col("height") * F.col("width")).alias("mask"), F.lit(1).alias("cls"))
+    scores = sweep.predict(tiles, truth, {"net": sweep.stub_predictor()}, sigmas=None)
+    assert "Broadcast" not in scores._jdf.queryExecution().executedPlan().toString()
+    same = sweep.predict(tiles, standins.large_truth(spark, SF), {"net": sweep.stub_predictor()}, sigmas=None)
+    assert same.orderBy("image_id").collect() == scores.orderBy("image_id").collect()
+
+
 def test_similarity_heatmap_has_every_image(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     out = catalogue.QUERIES["similarity_heatmap"](spark, SF)
