@@ -246,6 +246,29 @@ def test_similarities_of_blocks_are_those_of_single_pairs(spark):
         assert scores == pytest.approx((ssim.ssim(a, b, 255.0), ssim.ms_ssim(a, b, 255.0)))
 
 
+def test_equal_variants_are_scored_once_and_large_images_in_colour_as_single_ones(spark):
+    side, sigmas = 176, (2, 16, 18)
+    data = [(i, side, side, 1, bytearray(np.full((side, side), 40 * i + 20, np.uint8).tobytes())) for i in range(3)]
+    images = spark.createDataFrame(data, "image_id long, height int, width int, nChannels int, data binary").cache()
+    calls = spark.sparkContext.accumulator(0)
+    net = sweep.stub_predictor()
+
+    def counted(image):
+        calls.add(1)
+        return net(image)
+
+    truth = images.select("image_id", F.array_repeat(F.lit(1), side * side).alias("mask"), F.lit(1).alias("cls"))
+    got = sweep.predict(images, truth, {"net": counted}, sigmas, (50,)).collect()
+    assert {(r.image_id, r.sigma, r.quality) for r in got} == {(i, s, 50) for i in range(3) for s in sigmas} and calls.value == 3
+    pictures = [RNG.integers(0, 256, (400, 410, 3)).astype(np.uint8) for _ in range(3)]
+    stack = ssim.Stack(3, 255.0)
+    for i, p in enumerate(pictures):
+        stack.put(i, p)
+    one, many = stack.scores(2, np.array([0, 1]))
+    assert one == pytest.approx([ssim.ssim(pictures[2], p, 255.0) for p in pictures[:2]])
+    assert many == pytest.approx([ssim.ms_ssim(pictures[2], p, 255.0) for p in pictures[:2]])
+
+
 def test_logging_from_a_file_or_by_default(tmp_path):
     (tmp_path / "log.json").write_text('{"version": 1, "disable_existing_loggers": false, "loggers": {"tessera.probe": {"level": "ERROR"}}}')
     assert settings.setup_logging(f"{tmp_path}/log.json") and logging.getLogger("tessera.probe").level == logging.ERROR
