@@ -269,6 +269,34 @@ def test_equal_variants_are_scored_once_and_large_images_in_colour_as_single_one
     assert many == pytest.approx([ssim.ms_ssim(pictures[2], p, 255.0) for p in pictures[:2]])
 
 
+def test_only_strips_that_changed_are_compared_again(monkeypatch):
+    pictures = [RNG.integers(0, 256, (176, 190)).astype(np.uint8) for _ in range(3)]
+    stack, (second, first), filled = ssim.Stack(3, 255.0), np.tril_indices(3, -1), []
+    for i, p in enumerate(pictures):
+        stack.put(i, p)
+    stack.scores(second, first)
+    fill = ssim._Level._fill
+    monkeypatch.setattr(ssim._Level, "_fill", lambda self, s, i, o: filled.append((self.count, s, i, *o)) or fill(self, s, i, o))
+    pictures[1] = pictures[1].copy()
+    pictures[1][:8, 50:60] = 7
+    stack.put(1, pictures[1])
+    one, many = stack.scores(second, first)
+    assert {x[1] for x in filled} == {0} and len(stack.levels[0].x) > 1 and (2, 0) not in {x[2:] for x in filled}
+    for k, (a, b) in enumerate(zip(second, first)):
+        assert (one[k], many[k]) == pytest.approx((ssim.ssim(pictures[a], pictures[b], 255.0), ssim.ms_ssim(pictures[a], pictures[b], 255.0)), abs=1e-6)
+
+
+def test_pairs_of_blocks_have_partitions_of_their_own(spark):
+    data = [(i, 24, 24, 1, bytearray(RNG.integers(0, 256, 576).astype(np.uint8).tobytes())) for i in range(9)]
+    images = spark.createDataFrame(data, "image_id long, height int, width int, nChannels int, data binary")
+    out = sweep.similarities(images, (2,), (10, 90), block_bytes=2 * 576)
+    assert "repartition_by_num" in (plan := out._jdf.queryExecution().executedPlan().toString().lower()) and "hashpartitioning(low" not in plan
+    used = [r.n for r in out.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n")).collect()]
+    blocks = dict(images.select("image_id", F.pmod(F.xxhash64("image_id"), F.lit(5))).collect())
+    met = {tuple(sorted((blocks[i], blocks[j]))) for i in range(9) for j in range(i)}
+    assert sum(used) == 36 * 2 and len(used) in (len(met), 2 * len(met))
+
+
 def test_logging_from_a_file_or_by_default(tmp_path):
     (tmp_path / "log.json").write_text('{"version": 1, "disable_existing_loggers": false, "loggers": {"tessera.probe": {"level": "ERROR"}}}')
     assert settings.setup_logging(f"{tmp_path}/log.json") and logging.getLogger("tessera.probe").level == logging.ERROR
